@@ -26,6 +26,18 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, out, shards)
 
 
+def op2_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.html_style_tree import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.pu_quality import scores
+
+    return scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.chat_format import digests, format_conversations
 
@@ -86,6 +98,8 @@ def op10_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_index": op1_token_index,
+    "op2_html_style_tree": op2_html_style_tree,
+    "op5_pu_quality": op5_pu_quality,
     "op6_chat_format": op6_chat_format,
     "op7_decontaminate": op7_decontaminate,
     "op8_url_filters": op8_url_filters,
