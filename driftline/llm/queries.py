@@ -32,6 +32,19 @@ def op2_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op3_sp_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.sp_wfst import digests, encode_decode
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(encode_decode(docs, tokenizer_path("piece_bpe_32k.model")))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.pu_quality import scores
 
@@ -99,6 +112,8 @@ def op10_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_index": op1_token_index,
     "op2_html_style_tree": op2_html_style_tree,
+    "op3_sp_wfst": op3_sp_wfst,
+    "op4_token_counts": op4_token_counts,
     "op5_pu_quality": op5_pu_quality,
     "op6_chat_format": op6_chat_format,
     "op7_decontaminate": op7_decontaminate,
