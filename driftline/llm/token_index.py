@@ -220,8 +220,8 @@ def hash_keys(keys: list) -> np.ndarray:
 def build_mph(hashes: np.ndarray) -> np.ndarray:
     """Displacements of a hash-and-displace minimal perfect hash; distinct hashes get distinct slots of [0, n).
 
-    Buckets go in order of falling size. One of several keys gets the first displacement that sends them to free slots;
-    a single key takes a free slot, stored as its negative minus one.
+    Buckets go in order of falling size. One of several keys gets the first displacement, hashed together with each key,
+    that sends them to free slots; a single key takes a free slot, stored as its negative minus one.
     """
     n = len(hashes)
     buckets = max(1, -(-n // KEYS_A_BUCKET))
@@ -232,7 +232,7 @@ def build_mph(hashes: np.ndarray) -> np.ndarray:
     order = np.argsort(of, kind="stable")
     starts = np.searchsorted(of[order], np.arange(buckets + 1))
     sizes = np.diff(starts)
-    h2, h3 = _mix(hashes, 2), _mix(hashes, 3) | np.uint64(1)
+    h2 = _mix(hashes, 2)
     taken = np.zeros(n, dtype=bool)
     steps = np.arange(1 << 10, dtype=np.uint64)
     for b in np.argsort(-sizes, kind="stable"):
@@ -244,7 +244,7 @@ def build_mph(hashes: np.ndarray) -> np.ndarray:
             if first > 1 << 26:
                 raise ValueError("two keys have the same 64-bit hash")
             with np.errstate(over="ignore"):
-                slots = ((h2[own][None, :] + (np.uint64(first) + steps[:width])[:, None] * h3[own][None, :]) % np.uint64(n)).astype(np.int64)
+                slots = (_mix(h2[own][None, :] + _mix(np.uint64(first) + steps[:width], 3)[:, None], 5) % np.uint64(n)).astype(np.int64)
             fits = ~taken[slots].any(axis=1)
             if len(own) > 1:
                 ordered = np.sort(slots, axis=1)
@@ -264,7 +264,7 @@ def build_mph(hashes: np.ndarray) -> np.ndarray:
 def mph_slots(hashes: np.ndarray, shift: np.ndarray, n: int) -> np.ndarray:
     d = shift[(_mix(hashes, 1) % np.uint64(len(shift))).astype(np.int64)]
     with np.errstate(over="ignore"):
-        tried = ((_mix(hashes, 2) + np.maximum(d, 0).astype(np.uint64) * (_mix(hashes, 3) | np.uint64(1))) % np.uint64(max(n, 1))).astype(np.int64)
+        tried = (_mix(_mix(hashes, 2) + _mix(np.maximum(d, 0).astype(np.uint64), 3), 5) % np.uint64(max(n, 1))).astype(np.int64)
     return np.where(d < 0, -d - 1, tried)
 
 
