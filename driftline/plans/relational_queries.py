@@ -82,9 +82,9 @@ def join_semi(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_semi")
 
 
-@query("join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def join_anti(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 _SPLIT = SESS + ", h AS (SELECT *, row_number() OVER (ORDER BY md5(session_id || ':0'), session_id) AS pos, count(*) OVER () AS n FROM sess), sp AS (SELECT *, CASE WHEN pos <= round(n * 0.7) THEN 'train' WHEN pos <= round(n * 0.7) + round(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM h)"
