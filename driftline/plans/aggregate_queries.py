@@ -72,14 +72,14 @@ def agg_sampling_stats(spark, d):
 def agg_path_length(spark, d):
     n, e = S.north_east(F.col("lat"), F.col("lon"), 52.4, -1.5)
     p = geo(spark, d).withColumns({"n": n, "e": e})
-    step = F.hypot(O.diff(F.col("n"), W), O.diff(F.col("e"), W))
+    step = F.hypot(O.diff(F.col("n"), W()), O.diff(F.col("e"), W()))
     return p.withColumn("st", step).groupBy("session_id").agg(r6(F.sum("st"), 3).alias("len"))
 
 
 @query("agg_speed_distance", SIG + f", x AS (SELECT *, lag(v) OVER ({_P}) AS pv, lag(t) OVER ({_P}) AS pt FROM sig) SELECT session_id, round(sum((v + pv) / 2 * (t - pt)), 2) + 0.0 AS trapezoid, round(sum(v * (t - pt)), 2) + 0.0 AS rectangle FROM x GROUP BY session_id")
 def agg_speed_distance(spark, d):
-    dt = O.diff(F.col("t"), W)
-    x = sig(spark, d).withColumns({"tr": (F.col("v") + F.lag("v").over(W)) / 2 * dt, "re": F.col("v") * dt})
+    dt = O.diff(F.col("t"), W())
+    x = sig(spark, d).withColumns({"tr": (F.col("v") + F.lag("v").over(W())) / 2 * dt, "re": F.col("v") * dt})
     return x.groupBy("session_id").agg(r6(F.sum("tr"), 2).alias("trapezoid"), r6(F.sum("re"), 2).alias("rectangle"))
 
 
@@ -219,7 +219,7 @@ def agg_latency(spark, d):
 
 @query("flt_sanity_rules", SIG + f", x AS (SELECT *, t - lag(t) OVER ({_P}) AS dt FROM sig), a AS (SELECT session_id, count(*) AS n, count(*) FILTER (k % 10 = 0) AS g, count(*) / (max(t) - min(t)) * 1e5 AS rate, max(dt) / 1e6 AS gap, median(v / 10) AS acc, count(*) FILTER (k % 7 = 0) AS mag, count(*) FILTER (k = 3) AS wh FROM x GROUP BY session_id) SELECT session_id, concat_ws(',', CASE WHEN n < 100 THEN 'few_imu' END, CASE WHEN g < 10 THEN 'few_gnss' END, CASE WHEN rate < 60 OR rate > 250 THEN 'rate' END, CASE WHEN gap > 0.2 THEN 'gap' END, CASE WHEN acc < 5 THEN 'no_gravity' END, CASE WHEN mag = 0 THEN 'no_mag' END, CASE WHEN wh = 0 THEN 'no_withheld' END) AS flags FROM a")
 def flt_sanity_rules(spark, d):
-    x = sig(spark, d).withColumn("dt", O.diff(F.col("t"), W))
+    x = sig(spark, d).withColumn("dt", O.diff(F.col("t"), W()))
     a = x.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(F.col("k") % 10 == 0).alias("g"), (F.count("*") / (F.max("t") - F.min("t")) * 1e5).alias("rate"), (F.max("dt") / 1e6).alias("gap"), F.median(F.col("v") / 10).alias("acc"), F.count_if(F.col("k") % 7 == 0).alias("mag"), F.count_if(F.col("k") == 3).alias("wh"))
     flags = A.sanity_flags(*(F.col(c) for c in ("n", "g", "rate", "gap", "acc", "mag", "wh")))
     return a.select("session_id", F.array_join(flags, ",").alias("flags"))
@@ -266,14 +266,14 @@ def stm_session(spark, d):
 @query("stm_interval_close", SIG + f", g AS (SELECT *, count(*) FILTER (k % 10 = 0) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS iv FROM sig) SELECT session_id, iv, count(*) AS n, round(sum(v), 4) + 0.0 AS sv, round(sum(v * v), 2) + 0.0 AS svv FROM g WHERE iv > 0 GROUP BY session_id, iv HAVING max(t) - min(t) <= 300000")
 def stm_interval_close(spark, d):
     """Moments of each fix interval; intervals that last too long are discarded."""
-    g = sig(spark, d).withColumn("iv", O.islands(F.col("k") % 10 == 0, W)).where("iv > 0")
+    g = sig(spark, d).withColumn("iv", O.islands(F.col("k") % 10 == 0, W())).where("iv > 0")
     a = g.groupBy("session_id", "iv").agg(F.count("*").alias("n"), r6(F.sum("v"), 4).alias("sv"), r6(F.sum(F.col("v") * F.col("v")), 2).alias("svv"), (F.max("t") - F.min("t")).alias("span"))
     return a.where("span <= 300000").drop("span")
 
 
 @query("stm_dt_guard", SIG + f", x AS (SELECT *, t - lag(t) OVER ({_P}) AS dt FROM sig) SELECT event_id, least(dt, 50000) AS dt FROM x WHERE dt > 0")
 def stm_dt_guard(spark, d):
-    x = sig(spark, d).withColumn("dt", O.diff(F.col("t"), W)).where("dt > 0")
+    x = sig(spark, d).withColumn("dt", O.diff(F.col("t"), W())).where("dt > 0")
     return x.select("event_id", F.least("dt", F.lit(50000.0)).alias("dt"))
 
 

@@ -14,40 +14,44 @@ from driftline.plans.surrogates import clock, geo, route, sig, with_
 r6 = S.r6
 SIG, GEO, CLOCK, ROUTE = (with_(x) for x in ("sig", "geo", "clock", "route"))
 BY, ORD = "session_id", ["t", "event_id"]
-W = O.over(BY, ORD)
-R = O.running(BY, ORD)
+def W():
+    return O.over(BY, ORD)
+
+def R():
+    return O.running(BY, ORD)
+
 _P = "PARTITION BY session_id ORDER BY t, event_id"
 
 
 @query("win_diff", SIG + f" SELECT event_id, round(v - lag(v) OVER ({_P}), 6) + 0.0 AS d, round(coalesce(v - lag(v) OVER ({_P}), 0), 6) + 0.0 AS d0 FROM sig")
 def win_diff(spark, d):
-    return sig(spark, d).select("event_id", r6(O.diff(F.col("v"), W)).alias("d"), r6(O.diff(F.col("v"), W, 0.0)).alias("d0"))
+    return sig(spark, d).select("event_id", r6(O.diff(F.col("v"), W())).alias("d"), r6(O.diff(F.col("v"), W(), 0.0)).alias("d0"))
 
 
 @query("win_delta_label", SIG + f" SELECT event_id, round(coalesce(v / 10 - lag(v / 10) OVER ({_P}), 0), 6) + 0.0 AS d FROM sig")
 def win_delta_label(spark, d):
-    return sig(spark, d).select("event_id", r6(O.diff(F.col("v") / 10, W, 0.0)).alias("d"))
+    return sig(spark, d).select("event_id", r6(O.diff(F.col("v") / 10, W(), 0.0)).alias("d"))
 
 
 @query("win_central_gradient", SIG + f", g AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b, lag(t) OVER w AS ta, lead(t) OVER w AS tb FROM sig WINDOW w AS ({_P})) SELECT event_id, round(CASE WHEN a IS NULL THEN b - v WHEN b IS NULL THEN v - a ELSE (b - a) / 2 END, 6) + 0.0 AS g, round(CASE WHEN a IS NULL THEN (b - v) / nullif(tb - t, 0) WHEN b IS NULL THEN (v - a) / nullif(t - ta, 0) ELSE ((t - ta) * (t - ta) * b + ((tb - t) * (tb - t) - (t - ta) * (t - ta)) * v - (tb - t) * (tb - t) * a) / nullif((t - ta) * (tb - t) * (t - ta + tb - t), 0) END * 100, 4) + 0.0 AS gt FROM g")
 def win_central_gradient(spark, d):
-    return sig(spark, d).select("event_id", r6(O.gradient(F.col("v"), W)).alias("g"), r6(O.gradient_over(F.col("v"), F.col("t"), W) * 100, 4).alias("gt"))
+    return sig(spark, d).select("event_id", r6(O.gradient(F.col("v"), W())).alias("g"), r6(O.gradient_over(F.col("v"), F.col("t"), W()) * 100, 4).alias("gt"))
 
 
 @query("win_cumsum", SIG + f" SELECT event_id, round(sum(v) OVER ({_P} ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS s FROM sig")
 def win_cumsum(spark, d):
-    return sig(spark, d).select("event_id", r6(F.sum("v").over(R), 4).alias("s"))
+    return sig(spark, d).select("event_id", r6(F.sum("v").over(R()), 4).alias("s"))
 
 
 @query("win_cummax", SIG + f" SELECT event_id, max(v) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS m FROM sig")
 def win_cummax(spark, d):
-    return sig(spark, d).select("event_id", F.max("v").over(R).alias("m"))
+    return sig(spark, d).select("event_id", F.max("v").over(R()).alias("m"))
 
 
 @query("win_ffill", SIG + f" SELECT event_id, last_value(CASE WHEN k % 3 = 0 THEN v END IGNORE NULLS) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS f FROM sig")
 def win_ffill(spark, d):
     x = F.when(F.col("k") % 3 == 0, F.col("v"))
-    return sig(spark, d).select("event_id", F.last(x, ignorenulls=True).over(R).alias("f"))
+    return sig(spark, d).select("event_id", F.last(x, ignorenulls=True).over(R()).alias("f"))
 
 
 @query("win_unwrap", SIG + f", a AS (SELECT *, radians(v * 2 - 360 * floor(v * 2 / 360) - 180) AS ang FROM sig), s AS (SELECT *, coalesce({_wrap_sql(f'ang - lag(ang) OVER ({_P})')}, 0) AS st FROM a) SELECT event_id, round(first_value(ang) OVER ({_P}) + sum(st) OVER ({_P} ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS u FROM s")
@@ -126,7 +130,7 @@ def win_clock_repair_kt(spark, d):
 
 @query("prj_rebase_time", SIG + " SELECT event_id, round(t - min(t) OVER (PARTITION BY session_id), 6) + 0.0 AS t FROM sig")
 def prj_rebase_time(spark, d):
-    return sig(spark, d).select("event_id", r6(F.col("t") - F.first("t").over(R)).alias("t"))
+    return sig(spark, d).select("event_id", r6(F.col("t") - F.first("t").over(R())).alias("t"))
 
 
 @query("flt_positive_dt", CLOCK + ", x AS (SELECT *, raw_ms - lag(raw_ms) OVER (PARTITION BY session_id ORDER BY seq) AS dd FROM clock) SELECT session_id, seq, dd AS dt FROM x WHERE dd > 0")
@@ -137,10 +141,10 @@ def flt_positive_dt(spark, d):
 
 @query("win_gnss_velocity_dir", GEO + f", g AS (SELECT *, lat - lag(lat) OVER w AS dn, lon - lag(lon) OVER w AS de, row_number() OVER w AS rn FROM geo WINDOW w AS ({_P})), u AS (SELECT *, CASE WHEN sqrt(dn * dn + de * de) > 1e-5 THEN dn / sqrt(dn * dn + de * de) END AS un FROM g), f AS (SELECT *, last_value(un IGNORE NULLS) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS fn FROM u), z AS (SELECT *, CASE WHEN rn = 1 THEN lead(fn) OVER ({_P}) ELSE fn END AS dir FROM f) SELECT event_id, round(coalesce(dir, 0) * v, 5) + 0.0 AS vn FROM z")
 def win_gnss_velocity_dir(spark, d):
-    dn, de = O.diff(F.col("lat"), W), O.diff(F.col("lon"), W)
+    dn, de = O.diff(F.col("lat"), W()), O.diff(F.col("lon"), W())
     g = geo(spark, d).withColumn("n", F.sqrt(dn * dn + de * de)).withColumn("un", F.when(F.col("n") > 1e-5, dn / F.col("n")))
-    g = g.withColumn("fn", F.last("un", ignorenulls=True).over(R)).withColumn("rn", F.row_number().over(W))
-    g = g.withColumn("dir", F.when(F.col("rn") == 1, F.lead("fn").over(W)).otherwise(F.col("fn")))
+    g = g.withColumn("fn", F.last("un", ignorenulls=True).over(R())).withColumn("rn", F.row_number().over(W()))
+    g = g.withColumn("dir", F.when(F.col("rn") == 1, F.lead("fn").over(W())).otherwise(F.col("fn")))
     return g.select("event_id", r6(F.coalesce("dir", F.lit(0.0)) * F.col("v"), 5).alias("vn"))
 
 
@@ -153,7 +157,7 @@ def win_pre_event_stat(spark, d):
 
 @query("win_apex_exit", SIG + f", c AS (SELECT session_id, event_id, row_number() OVER ({_P}) AS i, sum(v - 100) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS cum FROM sig) SELECT session_id, min_by(i, (round(cum, 4), i)) AS apex, round(min(cum), 4) + 0.0 AS low FROM c GROUP BY session_id")
 def win_apex_exit(spark, d):
-    c = sig(spark, d).select("session_id", F.row_number().over(W).cast("long").alias("i"), F.sum(F.col("v") - 100).over(R).alias("cum"))
+    c = sig(spark, d).select("session_id", F.row_number().over(W()).cast("long").alias("i"), F.sum(F.col("v") - 100).over(R()).alias("cum"))
     return c.groupBy("session_id").agg(F.min_by("i", F.struct(F.round("cum", 4), "i")).alias("apex"), r6(F.min("cum"), 4).alias("low"))
 
 
@@ -185,8 +189,8 @@ _ISL = SIG + f", f AS (SELECT *, CASE WHEN k % 10 = 0 THEN v END AS fix, coalesc
 
 
 def _islands(spark, d):
-    s = sig(spark, d).withColumns({"fix": F.when(F.col("k") % 10 == 0, F.col("v")), "dt": F.coalesce(O.diff(F.col("t"), W), F.lit(0.0)) / F.lit(1e5)})
-    s = s.withColumn("isl", O.islands(F.col("fix").isNotNull(), W))
+    s = sig(spark, d).withColumns({"fix": F.when(F.col("k") % 10 == 0, F.col("v")), "dt": F.coalesce(O.diff(F.col("t"), W()), F.lit(0.0)) / F.lit(1e5)})
+    s = s.withColumn("isl", O.islands(F.col("fix").isNotNull(), W()))
     inner = O.running(["session_id", "isl"], ORD)
     return s.withColumn("base", F.coalesce(F.first("fix").over(inner), F.lit(0.0))).withColumn("mv", F.sum(F.when(F.col("fix").isNull(), (F.col("v") - 40) * F.col("dt")).otherwise(F.lit(0.0))).over(inner))
 
@@ -209,8 +213,8 @@ _INS = SIG + f", f AS (SELECT *, v % 7 < 5 AS out, coalesce(t - lag(t) OVER ({_P
 @query("win_ins_dead_reckon", _INS + " SELECT event_id, round(hd, 6) + 0.0 AS hd, round(dn, 5) + 0.0 AS dn FROM n WHERE out")
 def win_ins_dead_reckon(spark, d):
     """Heading and northing since the last fix: running sums that start anew at each outage."""
-    s = sig(spark, d).withColumns({"out": F.expr("v % 7 < 5"), "dt": F.coalesce(O.diff(F.col("t"), W), F.lit(0.0)) / F.lit(1e5)})
-    s = s.withColumn("og", O.islands(~F.col("out"), W))
+    s = sig(spark, d).withColumns({"out": F.expr("v % 7 < 5"), "dt": F.coalesce(O.diff(F.col("t"), W()), F.lit(0.0)) / F.lit(1e5)})
+    s = s.withColumn("og", O.islands(~F.col("out"), W()))
     inner = O.running(["session_id", "og"], ORD)
     s = s.withColumn("hd", F.sum(F.when(F.col("out"), F.radians(F.col("k").cast("double")) * F.col("dt")).otherwise(F.lit(0.0))).over(inner))
     s = s.withColumn("dn", F.sum(F.when(F.col("out"), F.col("v") * F.cos("hd") * F.col("dt")).otherwise(F.lit(0.0))).over(inner))
@@ -220,7 +224,7 @@ def win_ins_dead_reckon(spark, d):
 @query("flt_leveling_quiet", SIG + f", g AS (SELECT *, sum(CASE WHEN v > 100 THEN 1 ELSE 0 END) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS grp FROM sig) SELECT session_id, grp::BIGINT AS grp, count(*) AS n, round(max(t) - min(t), 4) + 0.0 AS span FROM g GROUP BY session_id, grp HAVING count(*) >= 3")
 def flt_leveling_quiet(spark, d):
     """Quiet stretches: a noisy sample starts a new one."""
-    g = sig(spark, d).withColumn("grp", O.islands(F.col("v") > 100, W))
+    g = sig(spark, d).withColumn("grp", O.islands(F.col("v") > 100, W()))
     return g.groupBy("session_id", "grp").agg(F.count("*").alias("n"), r6(F.max("t") - F.min("t"), 4).alias("span")).where("n >= 3")
 
 
@@ -240,5 +244,5 @@ def win_resample_linear(spark, d):
 
 @query("win_pre_segment_ids", GEO + f", m AS (SELECT *, lag(lat) OVER ({_P}) AS la, lag(lon) OVER ({_P}) AS lo FROM geo), s AS (SELECT *, coalesce(2 * 6371000.0 * asin(sqrt(least(1.0, power(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * power(sin(radians(lon - lo) / 2), 2)))), 0) AS st FROM m) SELECT event_id, CAST(floor(sum(st) OVER ({_P} ROWS UNBOUNDED PRECEDING) / 75) AS BIGINT) AS seg FROM s")
 def win_pre_segment_ids(spark, d):
-    step = F.coalesce(S.haversine(F.lag("lat").over(W), F.lag("lon").over(W), F.col("lat"), F.col("lon")), F.lit(0.0))
-    return geo(spark, d).withColumn("st", step).select("event_id", F.floor(F.sum("st").over(R) / 75).alias("seg"))
+    step = F.coalesce(S.haversine(F.lag("lat").over(W()), F.lag("lon").over(W()), F.col("lat"), F.col("lon")), F.lit(0.0))
+    return geo(spark, d).withColumn("st", step).select("event_id", F.floor(F.sum("st").over(R()) / 75).alias("seg"))
