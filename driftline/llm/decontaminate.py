@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import maybe_broadcast, written
+from driftline.llm.shared import fresh, maybe_broadcast, written
 
 WINDOW = 10
 #: Separators between words, as a Java pattern; A-Z are words' letters here and lower-cased after.
@@ -77,10 +77,6 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     return Index(written(found.select("doc_id", "doc_hash", "term_id", "pos"), "postings"), known, n)
 
 
-def _same_doc(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["doc_hash"] == b["doc_hash"])
-
-
 def _with_frequencies(items: DataFrame, index: Index) -> DataFrame:
     """Item words with term_id and cf; cf is 0 where no document has the term."""
     held = items.join(maybe_broadcast(index.terms, index.n_terms, 64), "term")
@@ -160,5 +156,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` in which no benchmark window occurs; all rows of an id go if one of them is hit."""
-    hit = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+    (name,) = fresh(docs, "hit_id")
+    hit = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import written
+from driftline.llm.shared import fresh, written
 
 #: The most positives, and the most unlabelled rows, that the fit takes.
 SAMPLE = 20_000
@@ -227,5 +227,6 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def good_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that the classifier doesn't reject; of an id with several texts all stay if one does."""
-    kept = scores(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    (name,) = fresh(docs, "kept_id")
+    kept = scores(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")

@@ -66,6 +66,17 @@ def maybe_broadcast(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if small_enough(rows, bytes_a_row) else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 class Store:
     """Whole-file reads and writes below a URI, usable in tasks; a write appears under its name only when complete."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import maybe_broadcast, remove, shared_path, written
+from driftline.llm.shared import fresh, maybe_broadcast, remove, shared_path, written
 
 THRESHOLD = 4
 #: (first bit, bits) of each block.
@@ -73,15 +73,15 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    """doc_id, text_hash and fp (the 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((simhash(t.as_py(), shingle, seed) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 # --- anchors --------------------------------------------------------------------------------------------------------
@@ -294,25 +294,29 @@ def components(edges: DataFrame) -> DataFrame:
     return parents if parents is not None else spark.createDataFrame([], "node long, root long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), and for every fingerprint its root and component_id."""
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    distinct = written(distinct, "distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct.select("fp")))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = written(named.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, written(named.join(least, "root").select("fp", "root", "component_id"), "components")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id names their component; of rows that repeat that id one stays.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row."""
+    prints, classes = _classes(docs, id_col, text_col)
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-    Rows with a null id stay where their component has no other name, as one row.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"), F.col("fingerprint").alias("__print")).distinct()
-    first = keep.groupBy("__keep").agg(F.min("__print").alias("__print")).select("__keep")
-    kept = docs.join(first, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of `docs` for each component: that of the smallest id, nulls last, then of the smallest text hash."""
+    prints, classes = _classes(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("id"), "text_hash"]
+    first = prints.join(classes, "fp").groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    names = fresh(docs, "first_none", "first_id", "first_hash")
+    marked = docs.withColumns({names[0]: F.col(id_col).isNull(), names[1]: F.coalesce(F.col(id_col), F.lit("0").cast(kind)), names[2]: F.xxhash64(text_col)})
+    kept = marked.join(first.toDF(*names), names, "left_semi")
+    return kept.dropDuplicates(names).select(*docs.columns)
