@@ -263,11 +263,11 @@ def stm_session(spark, d):
     return e.groupBy(F.col("user_id").alias("session_id"), F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n")).select("session_id", r6(F.unix_micros("w.start") / F.lit(1e6)).alias("began"), "n")
 
 
-@query("stm_interval_close", SIG + f", g AS (SELECT *, count(*) FILTER (k % 10 = 0) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS iv FROM sig) SELECT session_id, iv, count(*) AS n, round(sum(v), 4) + 0.0 AS sv, round(sum(v * v), 2) + 0.0 AS svv FROM g WHERE iv > 0 GROUP BY session_id, iv HAVING max(t) - min(t) <= 300000")
+@query("stm_interval_close", SIG + f", g AS (SELECT *, count(*) FILTER (k % 10 = 0) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS iv FROM sig) SELECT session_id, iv, count(*) AS n, round(sum(v), 4) + 0.0 AS sv, round(sum(v * v), 6) + 0.0 AS svv FROM g WHERE iv > 0 GROUP BY session_id, iv HAVING max(t) - min(t) <= 300000")
 def stm_interval_close(spark, d):
     """Moments of each fix interval; intervals that last too long are discarded."""
     g = sig(spark, d).withColumn("iv", O.islands(F.col("k") % 10 == 0, W())).where("iv > 0")
-    a = g.groupBy("session_id", "iv").agg(F.count("*").alias("n"), r6(F.sum("v"), 4).alias("sv"), r6(F.sum(F.col("v") * F.col("v")), 2).alias("svv"), (F.max("t") - F.min("t")).alias("span"))
+    a = g.groupBy("session_id", "iv").agg(F.count("*").alias("n"), r6(F.sum("v"), 4).alias("sv"), r6(F.sum(F.col("v") * F.col("v"))).alias("svv"), (F.max("t") - F.min("t")).alias("span"))
     return a.where("span <= 300000").drop("span")
 
 
