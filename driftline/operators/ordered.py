@@ -6,7 +6,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -131,22 +133,31 @@ def resample(df: DataFrame, cols: Names, by: Names, t: str, rate: float, origin:
     return g.select(*by, F.col("tick").cast("long").alias("tick"), F.col("__g").alias(t), *((F.col(c) + F.coalesce(F.col(f"__{c}") - F.col(c), F.lit(0.0)) * a).alias(c) for c in cols))
 
 
-def folded(df: DataFrame, by: Names, order: Names, cols: Names) -> DataFrame:
-    """by and rows: the session's samples in order, as an array of structs, for scans that need the row before.
+def scan(df: DataFrame, by: Names, order: Names, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A kernel over each session's rows in order, for scans that need the result before; linear in the session.
 
-    A session must fit a task, as it does for any sequential scan.
+    Sessions run in parallel, one in a task. Windows are cheaper wherever they can express the scan.
     """
-    keys, values = _list(order), _list(cols)
-    return df.groupBy(*_list(by)).agg(F.sort_array(F.collect_list(F.struct(*keys, *[c for c in values if c not in keys]))).alias("rows"))
+    keys = _list(order)
+    return df.groupBy(*_list(by)).applyInPandas(lambda pdf: kernel(pdf.sort_values(keys, kind="stable")), schema)
+
+
+def _kinds(df: DataFrame, cols: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in dict.fromkeys(cols))
 
 
 def ema(df: DataFrame, col: str, by: Names, order: Names, alpha: float = 0.05, out: str = "ema") -> DataFrame:
     """Recursive mean: g = alpha * x + (1 - alpha) * g before, starting at the first sample."""
-    keys = _list(order)
-    f = folded(df, by, order, col)
-    step = lambda acc, r: F.concat(acc, F.array(F.when(F.size(acc) == 0, r[col]).otherwise(F.lit(alpha) * r[col] + F.lit(1 - alpha) * F.element_at(acc, -1))))
-    got = f.withColumn("__e", F.aggregate("rows", F.array().cast("array<double>"), step)).select(*_list(by), F.posexplode("rows").alias("__i", "__r"), "__e")
-    return got.select(*_list(by), *(F.col(f"__r.{k}").alias(k) for k in keys), F.col(f"__r.{col}").alias(col), F.get("__e", F.col("__i")).alias(out))
+    cols = list(dict.fromkeys([*_list(by), *_list(order), col]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, got = None, []
+        for x in pdf[col].tolist():
+            g = x if g is None else alpha * x + (1 - alpha) * g
+            got.append(g)
+        return pdf[cols].assign(**{out: got})
+
+    return scan(df.select(cols), by, order, run, f"{_kinds(df, cols)}, `{out}` double")
 
 
 def ewm_last(df: DataFrame, col: str, by: Names, order: Names, span: int = 20, out: str = "ewm") -> DataFrame:
@@ -158,43 +169,52 @@ def ewm_last(df: DataFrame, col: str, by: Names, order: Names, span: int = 20, o
 
 def min_spacing(df: DataFrame, t: str, by: Names, order: Names, spacing: float) -> DataFrame:
     """Rows at least `spacing` after the last row kept; the first row stays. by, order columns and t."""
-    keys = _list(order)
-    f = folded(df, by, order, [*keys, t])
-    keep = lambda acc, r: F.when((F.size(acc) == 0) | (r[t] - F.element_at(acc, -1)[t] >= spacing), F.concat(acc, F.array(r))).otherwise(acc)
-    kind = f.schema["rows"].dataType.simpleString()
-    return f.select(*_list(by), F.explode(F.aggregate("rows", F.array().cast(kind), keep)).alias("r")).select(*_list(by), "r.*")
+    cols = list(dict.fromkeys([*_list(by), *_list(order), t]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, keep = None, []
+        for x in pdf[t].tolist():
+            keep.append(last is None or x - last >= spacing)
+            last = x if keep[-1] else last
+        return pdf.loc[keep, cols]
+
+    return scan(df.select(cols), by, order, run, _kinds(df, cols))
 
 
 def block_average(df: DataFrame, col: str, t: str, by: Names, order: Names, span: float = 0.1) -> DataFrame:
     """Means of blocks: one ends at the first sample at least `span` after its start; the next starts at that time."""
-    f = folded(df, by, order, [t, col])
-    empty = F.struct(F.lit(None).cast("double").alias("t0"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<t:double,mean:double>>").alias("out"))
+    keys = _list(by)
 
-    def step(acc, r):
-        t0 = F.coalesce(acc["t0"], r[t])
-        s, n = acc["s"] + r[col], acc["n"] + 1
-        done = r[t] - t0 >= span
-        out = F.when(done, F.concat(acc["out"], F.array(F.struct(r[t].alias("t"), (s / n).alias("mean"))))).otherwise(acc["out"])
-        return F.struct(F.when(done, r[t]).otherwise(t0).alias("t0"), F.when(done, F.lit(0.0)).otherwise(s).alias("s"), F.when(done, F.lit(0).cast("long")).otherwise(n).alias("n"), out.alias("out"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, total, n, got = None, 0.0, 0, []
+        for at, x in zip(pdf[t].tolist(), pdf[col].tolist(), strict=True):
+            start = at if start is None else start
+            total, n = total + x, n + 1
+            if at - start >= span:
+                got.append((len(got), at, total / n))
+                start, total, n = at, 0.0, 0
+        out = pd.DataFrame(got, columns=["block", "t", "mean"])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
 
-    return f.select(*_list(by), F.posexplode(F.aggregate("rows", empty, step, lambda a: a["out"])).alias("block", "b")).select(*_list(by), F.col("block").cast("long").alias("block"), F.col("b.t").alias("t"), F.col("b.mean").alias("mean"))
+    return scan(df, by, order, run, f"{_kinds(df, keys)}, block long, t double, mean double")
 
 
 def integrate_reseed(df: DataFrame, t: str, accel: str, speed: str, by: Names, order: Names, low: float = 0.0, high: float = 70.0, leak: float = 0.0, out: str = "speed_est") -> DataFrame:
     """Speed from acceleration, set to the fix where there is one and kept within [low, high]; starts at zero."""
-    keys = _list(order)
-    f = folded(df, by, order, [*keys, t, accel, speed])
-    empty = F.array().cast("array<struct<t:double,s:double>>")
-
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        dt = F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(r[t] - last["t"])
-        moved = (F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(last["s"]) + r[accel] * dt) * (F.lit(1.0) - F.lit(leak) * dt)
-        s = F.coalesce(r[speed], F.greatest(F.lit(low), F.least(F.lit(high), moved)))
-        return F.concat(acc, F.array(F.struct(r[t].alias("t"), s.alias("s"))))
-
-    got = f.withColumn("__s", F.aggregate("rows", empty, step)).select(*_list(by), F.posexplode("rows").alias("__i", "__r"), "__s")
-    return got.select(*_list(by), *(F.col(f"__r.{k}").alias(k) for k in keys), F.get("__s", F.col("__i"))["s"].alias(out))
+    cols = list(dict.fromkeys([*_list(by), *_list(order)]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, v, got = None, 0.0, []
+        for at, a, fix in zip(pdf[t].tolist(), pdf[accel].tolist(), pdf[speed].tolist(), strict=True):
+            dt = 0.0 if last is None else at - last
+            last = at
+            v = fix if fix is not None and fix == fix else max(low, min(high, (v + a * dt) * (1.0 - leak * dt)))
+            got.append(v)
+        return pdf[cols].assign(**{out: got})
+
+    return scan(df, by, order, run, f"{_kinds(df, cols)}, `{out}` double")
 
 
 def dead_reckoning(df: DataFrame, by: Names, order: Names, t: str = "t", ax: str = "ax", ay: str = "ay", yaw: str = "gyro_yaw", start: tuple[float, float, float, float, float] = (0, 0, 0, 0, 0)) -> DataFrame:
