@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 _local_dirs: dict[str, str] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +47,25 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = path or shared_path(spark, name)
+    if not _tables:
+        atexit.register(_remove_tables)
+    _tables[path] = spark
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_tables() -> None:
+    """Intermediate tables go when the driver ends; one that is killed leaves them to the folder's owner."""
+    for path, spark in list(_tables.items()):
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may have ended first
+            return
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder of the shared store that nothing reads any more."""
+    _tables.pop(path, None)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
