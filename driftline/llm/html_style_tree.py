@@ -15,7 +15,7 @@ notices, adverts, forms, comments, scripts, styles) go on any host, however few
 ``article`` or ``main``, blocks outside of it go, and its unmarked headings, paragraphs and lists stay even where copies
 of the page make them look like boilerplate. If all blocks of a page are noise, all stay.
 
-Plan. One pass parses pages (bounded by a page) into a table in the shared folder. Statistics are sums by host and
+Plan. One pass parses pages (a task holds a few) and writes their places to the shared folder; another keeps blocks. Statistics are sums by host and
 place, pre-aggregated before the shuffle, so a host with a third of all pages is no hot task; a host's tree is never
 gathered anywhere. Only noise places return to pages, by a join that adaptive execution can split.
 
@@ -200,7 +200,11 @@ def host_of(url: str | None) -> str:
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """row (a hash of the page), page_id, url, host, places (path, look, words, plain) and blocks (place, text)."""
+    """row (a hash of the page), page_id, url, host, places (path, look, words, plain) and blocks (place, text).
+
+    Parsing again costs less than keeping: main_text reads places in one pass and blocks in another, so the text of
+    pages is never written but for the one shuffle that brings a page and its noise places together.
+    """
     from xxhash import xxh3_64_intdigest
 
     kind = pages.schema[id_col].dataType.simpleString()
@@ -239,11 +243,12 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_noise for every page."""
-    site = written(parsed(pages, id_col, url_col, html_col), "parsed-pages")
+    whole = parsed(pages, id_col, url_col, html_col)
+    site = written(whole.select("row", "host", "places"), "places")
     noise = importance(site).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "path")
     spots = site.where("host != ''").select("row", "host", F.posexplode("places").alias("place", "p")).where("NOT p.plain").select("row", "host", "place", F.col("p.path").alias("path"))
     gone = spots.join(noise, ["host", "path"]).groupBy("row").agg(F.collect_set("place").alias("gone"))
-    joined = site.join(gone, "row", "left")
+    joined = whole.select("row", "page_id", "url", "blocks").join(gone, "row", "left")
     kept = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), b["place"]))
     kept = F.when((F.size(kept) == 0) | F.col("gone").isNull(), F.col("blocks")).otherwise(kept)
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
