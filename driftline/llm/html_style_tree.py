@@ -13,7 +13,8 @@ Places below THRESHOLD on hosts with at least MIN_PAGES pages are noise, and blo
 declares comes first: elements that are no content by their tag, role or class names (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts, styles) go on any host, however few pages it has; where a page has an
 ``article`` or ``main``, blocks outside of it go, and its unmarked headings, paragraphs and lists stay even where copies
-of the page make them look like boilerplate. If all blocks of a page are noise, all stay.
+of the page make them look like boilerplate. If all blocks of a page are noise, all stay; if class names
+leave a page without any block (a container named after its sidebar, say), they don't count on it.
 
 Plan. One pass parses pages (a task holds a few) and writes their places to the shared folder; another keeps blocks. Statistics are sums by host and
 place, pre-aggregated before the shuffle, so a host with a third of all pages is no hot task; a host's tree is never
@@ -55,23 +56,29 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 #: No content by their tag, by their ARIA role, or by a word of their class or id.
 NO_CONTENT = {"nav", "header", "footer", "aside", "form", "button", "select", "input", "label", "dialog", "menu", "search", "head", "svg", "canvas", "audio", "video", "object", "math", "datalist", "fieldset", *RAW}
 NO_CONTENT_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
-NO_CONTENT_WORD = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "notice", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "disqus", "replies", "related", "recommended", "widget", "pagination", "pager", "toolbar", "copyright", "disclaimer", "hidden"}
+NO_CONTENT_WORD = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "notice", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "disqus", "replies", "related", "recommended", "widget", "pagination", "pager", "toolbar", "copyright", "disclaimer", "hidden", "announcement", "discussion", "responses", "reply", "respond", "teaser", "teasers", "sponsors", "topbar"}
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Plain elements that stay within an article or main element whatever the statistics say.
 PLAIN = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "section", "figure", "figcaption", "b", "i", "em", "strong", "a", "span", "code", "u", "s", "small", "sub", "sup", "q", "cite"}
 
 
-def _no_content(tag: str, attrs: dict[str, str]) -> bool:
+def _no_content(tag: str, attrs: dict[str, str], named_too: bool) -> bool:
     if tag in NO_CONTENT or attrs.get("role", "").lower() in NO_CONTENT_ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    if tag in ("html", "body", "article", "main") and tag != "article":
+    if not named_too or tag in ("html", "body", "main"):
         return False
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     return named != " " and not NO_CONTENT_WORD.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", named).lower()))
 
 
 def parse(html: str) -> tuple[list[tuple[str, str, str, bool]], list[tuple[int, str]]]:
+    """Places and blocks of a page; if class names leave nothing of it, then without regard to class names."""
+    got = _parse(html, True)
+    return got if got[1] or not html else _parse(html, False)
+
+
+def _parse(html: str, named_too: bool) -> tuple[list[tuple[str, str, str, bool]], list[tuple[int, str]]]:
     """Places and blocks of a page.
 
     A place is (path, child sequence, text, plain: within an article or main and unmarked all the way); a block is (index
@@ -163,7 +170,7 @@ def parse(html: str) -> tuple[list[tuple[str, str, str, bool]], list[tuple[int,
         plain = tag in PLAIN and style == tag and (up[4] or not up[3]) if inside else False
         if tag in ("article", "main") and not up[3]:
             plain = True
-        e = [tag, f"{up[1]}/{style}", up[2] or _no_content(tag, attrs), inside, plain, []]
+        e = [tag, f"{up[1]}/{style}", up[2] or _no_content(tag, attrs, named_too), inside, plain, []]
         if not up[5] or up[5][-1] != style:
             up[5].append(style)
         if inside and not e[2]:

@@ -94,6 +94,7 @@ def test_page_parsing():
     <article><h1>Head &amp; line</h1><p><b>One<br><p>two  <i>three</i><script>if(a<b)"</p>"</script> four<ul><li>x<li>y</ul><aside>side</aside><form>f<input></form>
     <div class="cookieNotice">c</div><div id="comments"><p>reader</p></div></article><p>outside</p><footer>f</footer>"""
     assert [t for _, t in html_style_tree.parse(page)[1]] == ["Head & line", "One", "two three four", "x", "y"]
+    assert [t for _, t in html_style_tree.parse("<div class=with-sidebar><article><p>x</p></article></div>")[1]] == ["x"]
     assert html_style_tree.parse("")[1] == [] and [t for _, t in html_style_tree.parse("a < b <p")[1]] == ["a < b <p"]
 
 
@@ -249,8 +250,8 @@ def brute_hits(text, items, window=10):
 def test_contamination_brute_force(spark, odd, empty):
     rnd = random.Random(2)
     vocab = ["a", "B", "c", "É", "é", "d9"]
-    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 14)))) for i in range(25)] + [(77, None), (78, "ZZ unknown"), (None, "c c c c c c c c c c")]
-    docs = [(i, "; ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 60)))) for i in range(60)] + [(100, None), (101, items[3][1]), (101, items[5][1]), (102, " x ".join(t for _, t in items if t))]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 14)))) for i in range(25)] + [(77, None), (78, "ZZ unknown"), (None, "c c c c c c c c c c"), (79, "a \ue000 c")]
+    docs = [(i, "; ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 60)))) for i in range(60)] + [(100, None), (101, items[3][1]), (101, items[5][1]), (103, "b a \ue000 c \ue000"), (104, "\ue000"), (102, " x ".join(t for _, t in items if t))]
     docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(docs_df, items_df).collect()
     want = []
