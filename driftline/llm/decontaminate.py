@@ -33,8 +33,8 @@ WINDOW = 10
 #: Separators between words, as a Java pattern; A-Z are words' letters here and lower-cased after.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands for a document's end in the index: no word holds it, and its position is the number of words.
-_END = "\x01"
+#: A word put after every text: its last place is the number of the text's words.
+_END = "\ue000"
 
 
 def words(text: Column) -> Column:
@@ -71,15 +71,21 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     """Postings of the given terms (column term) over all documents."""
     known = written(terms.select("term").distinct().select("term", F.monotonically_increasing_id().alias("term_id")).unionAll(docs.sparkSession.range(1).select(F.lit(_END), F.lit(-1).cast("long"))), "terms")
     n = known.count()
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("doc_hash"), F.posexplode(F.concat(words(text), F.array(F.lit(_END)))).alias("pos", "word"))
-    found = rows.withColumn("word", lowered(F.col("word"))).join(maybe_broadcast(known, n, 64), F.col("word") == F.col("term"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    split = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("doc_hash"), (F.octet_length(text) == F.char_length(text)).alias("ascii"), F.split(F.concat(text, F.lit(f" {_END}")), SEPARATORS).alias("w"))
+    # Only the first part of a split can be empty: where the text begins with a separator.
+    split = split.select("doc_id", "doc_hash", "ascii", "w", F.size("w").alias("n"), F.when(F.get("w", F.lit(0)) == "", 1).otherwise(0).alias("skip"))
+    rows = split.select("doc_id", "doc_hash", "ascii", "n", "skip", F.posexplode("w").alias("at", "word"))
+    word = F.when(F.col("ascii"), F.lower("word")).otherwise(lowered(F.col("word")))
+    found = rows.withColumn("word", word).join(maybe_broadcast(known, n, 64), F.col("word") == F.col("term"))
+    # The end word may be a word of texts and items as well: its last place is the end, and nothing else is.
+    found = found.where((F.col("term_id") >= 0) == (F.col("at") < F.col("n") - 1)).withColumn("pos", F.col("at") - F.col("skip"))
     return Index(written(found.select("doc_id", "doc_hash", "term_id", "pos"), "postings"), known, n)
 
 
 def _with_frequencies(items: DataFrame, index: Index) -> DataFrame:
     """Item words with term_id and cf; cf is 0 where no document has the term."""
-    held = items.join(maybe_broadcast(index.terms, index.n_terms, 64), "term")
+    held = items.join(maybe_broadcast(index.terms.where("term_id >= 0"), index.n_terms, 64), "term")
     cf = index.frequencies()
     return held.join(maybe_broadcast(cf, index.n_terms, 24), "term_id", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
 
