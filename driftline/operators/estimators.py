@@ -7,7 +7,7 @@ kernels hold O(1) state a row, so the same classes serve the streaming processor
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import atan2, cos, hypot, pi, sin
+from math import cos, hypot, pi, sin
 
 import numpy as np
 import pandas as pd
@@ -373,7 +373,3 @@ def infer(df: DataFrame, features: str, model: bytes | None = None, weights: np.
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(out, F.pandas_udf(run, "double")(features))
-
-
-def heading_of(vn: float, ve: float) -> float:
-    return atan2(ve, vn)

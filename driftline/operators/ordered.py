@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -236,6 +235,3 @@ def dead_reckoning(df: DataFrame, by: Names, order: Names, t: str = "t", ax: str
 def islands(flag: Column, w: WindowSpec) -> Column:
     """Number of flagged rows so far: a new island starts at each."""
     return F.sum(F.when(flag, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-
-
-TWO_PI = 2 * math.pi

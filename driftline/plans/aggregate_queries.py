@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions import scalar as S
 from driftline.operators import aggregates as A
 from driftline.operators import ordered as O
-from driftline.plans.ordered_queries import BY, ORD, TRACK_SQL, W, _P, tracks
+from driftline.plans.ordered_queries import TRACK_SQL, W, _P, tracks
 from driftline.plans.registry import query
 from driftline.plans.surrogates import clock, geo, pair, sig, table, with_
 
@@ -284,6 +284,3 @@ def stm_freeze_on_event(spark, d):
     c = sig(spark, d).withColumn("at", at).where("t < at").withColumn("back", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("t"), F.desc("event_id"))))
     a = c.where("back <= 30").groupBy("session_id").agg(F.count("*").alias("n"), F.regr_slope("v", "k").alias("slope"))
     return a.select("session_id", "n", F.when(F.col("n") >= 5, r6(F.col("slope"), 5)).alias("slope"))
-
-
-_ = (BY, ORD)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import scalar as S
@@ -411,6 +410,3 @@ def snk_session_csv(spark, d):
     text = F.format_string("%.2f", "v")
     m = merged_lines(imu.select("session_id", "t", "event_id", F.concat(F.lit("imu:"), text).alias("line")), gnss.select("session_id", "t", "event_id", F.concat(F.lit("gnss:"), text).alias("line")), ["event_id"])
     return m.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t", "stream_rank", "event_id", "line"))), lambda r: r["line"]), ";").alias("line"))
-
-
-_ = Window

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import scalar as S
 from driftline.operators import joins as J
-from driftline.operators import ordered as O
-from driftline.plans.ordered_queries import BY, ORD, R, W, _P
+from driftline.plans.ordered_queries import R, W, _P
 from driftline.plans.registry import query
 from driftline.plans.surrogates import sig, table, with_
 from driftline.sources import recordings, sinks
@@ -122,6 +121,3 @@ def est_channel_dispatch(spark, d):
     """No channel, a constant, integrated physics or a model, by configuration; null means that the update is left out."""
     m, v = F.col("k") % 4, F.col("v") / 10
     return sig(spark, d).select("event_id", F.when(m == 1, F.lit(4.876)).when(m == 2, v).when(m == 3, S.clip(F.lit(1.12) * F.col("v") / 10, 0, 40)).alias("speed"))
-
-
-_ = (BY, ORD, O)
