@@ -13,7 +13,7 @@ collected, and no task grows with the table.
 Odd rows: vectors that are null, hold null or non-finite components, or are of another length than the table's most
 common one (ties: the shorter) take no part, nor do rows with a null id; repeated ids are rows of their own, except that
 a query leaves out all rows of its own id. Components whose scores could pass 2^53 are scored in whole numbers of any
-size and fail if a score passes 2^63. An empty table gives an empty result.
+size; a score beyond 64 bits is shown as the nearest that fits. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         best = np.lexsort((c_ids[some], -exact))[:k] if exact_float else np.array(sorted(range(len(some)), key=lambda j: (-exact[j], c_ids[some[j]]))[:k], dtype=np.int64)
         out[0].append(np.full(len(best), q_ids[i]))
         out[1].append(c_ids[some][best])
-        out[2].append(exact[best].astype(np.int64))
+        out[2].append(exact[best] if exact_float else np.array([max(-(2**63), min(2**63 - 1, x)) for x in exact[best]], dtype=np.int64))
     return tuple(np.concatenate(x) for x in out)
 
 

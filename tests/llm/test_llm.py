@@ -394,7 +394,7 @@ def test_topk_equals_brute_force(spark):
     assert len(few) == 2
     assert topk_segments.top_k(df.where("false")).count() == 0
     big = spark.createDataFrame([(0, [1e8] * 4), (1, [1e8] * 4), (2, [-1e8] * 4)], "vec_id long, embedding array<float>")
-    assert [r.vec_id for r in sorted(topk_segments.top_k(big).collect(), key=lambda r: r.rank)] == [1, 2]
+    assert [(r.vec_id, r.score) for r in sorted(topk_segments.top_k(big).collect(), key=lambda r: r.rank)] == [(1, 2**63 - 1), (2, -(2**63))]
 
 
 def test_bounds_hold():
