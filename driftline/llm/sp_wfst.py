@@ -35,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.token_index import BYTES_AT_A_TIME, _pick, _slices
+from driftline.llm.token_index import _pick, _slices
 
 MARK = "▁"
-#: Chunks and pairs that a task remembers; beyond it each memory starts anew.
-CHUNKS_REMEMBERED = 700_000
-PAIRS_REMEMBERED = 2_000_000
+#: Chunks and pairs that a worker remembers: a young and an old half, of which the old one goes when the young is full.
+CHUNKS_REMEMBERED = 300_000
+PAIRS_REMEMBERED = 500_000
 _CUT = "\x1e"
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _UNIGRAM, _BPE = 1, 2
@@ -91,7 +91,9 @@ class Transducer:
         self.code, self.dtype = ("I", "<u4") if self.wide else ("H", "<u2")
         self.limit = chunks
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.pairs_before: dict[int, bool] = {}
         out = [self._surface(i, p.type) for i, p in enumerate(proto.pieces)]
         self.out_sizes = np.array([len(x) for x in out], dtype=np.int64)
         self.out_starts = np.cumsum(self.out_sizes) - self.out_sizes
@@ -137,9 +139,11 @@ class Transducer:
         key = (left + 1) * len(self.names) + right
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) >= PAIRS_REMEMBERED:
-                self.pairs.clear()
-            ok = self.pairs[key] = self._passes(left, right)
+            if len(self.pairs) >= PAIRS_REMEMBERED // 2:
+                self.pairs_before = dict(self.pairs)
+                self.pairs.clear()  # path() holds on to this one
+            ok = self.pairs_before.get(key)
+            ok = self.pairs[key] = self._passes(left, right) if ok is None else ok
         return ok
 
     def _passes(self, left: int, right: int) -> bool:
@@ -219,9 +223,10 @@ class Transducer:
     def _chunk(self, chunk: str) -> bytes:
         got = self.known.get(chunk)
         if got is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            got = self.known[chunk] = array(self.code, self.path(chunk)).tobytes()
+            if len(self.known) >= self.limit // 2:
+                self.known_before, self.known = self.known, {}
+            got = self.known_before.get(chunk)
+            got = self.known[chunk] = array(self.code, self.path(chunk)).tobytes() if got is None else got
         return got
 
     def encode(self, text: str) -> np.ndarray:
@@ -315,5 +320,3 @@ def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     joined = F.array_join(F.col("sp_ids").cast("array<string>"), ",")
     return encoded.select(F.col(id_col).alias("doc_id"), F.size("sp_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("sp_text", 256).alias("decoded_sha256"), F.col("sp_round_trip").alias("round_trip"))
 
-
-__all__ = ["BYTES_AT_A_TIME", "Transducer", "digests", "encode_decode"]
