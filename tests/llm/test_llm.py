@@ -421,3 +421,38 @@ def test_pipeline(spark, data):
     first = pipeline.STAGES[0][1](spark, spark.read.parquet(f"{data}/documents.parquet"), data)
     assert first.columns == spark.read.parquet(f"{data}/documents.parquet").columns
     json.dumps([n for n, _ in pipeline.STAGES])
+
+
+def brute_sets(all_texts):
+    out = []
+    for t in all_texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def test_pipeline_links_near_copies(spark, empty, odd, monkeypatch):
+    """Planted copies of Jaccard 0.8 and more in pairs and in a group that makes anchors large; nothing below is linked."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(5)
+    plant = lambda w, n: [f"n{rnd.random()}" if i in n else x for i, x in enumerate(w)]
+    rows = []
+    for _ in range(300):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(60, 300))]
+        rows += [w, plant(w, {rnd.randrange(len(w)) for _ in range(rnd.randint(1, max(1, len(w) // 30)))})]
+    hot = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    rows += [plant(hot, {rnd.randrange(200)}) for _ in range(150)]
+    sets = brute_sets([" ".join(r) for r in rows])
+    near = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[:600:2], sets[1:600:2], strict=True)]
+    assert 100 < sum(near) < 250
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    for chunk in (8192, 40):
+        monkeypatch.setattr("driftline.llm.near_copies.CHUNK", chunk)
+        kept = {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()}
+        caught = [2 * i + 1 not in kept for i in range(300)]
+        assert not any(c and not n for c, n in zip(caught, near, strict=True))
+        assert sum(caught) >= 0.98 * sum(near)
+        assert {i for i in kept if i >= 600} == {600}
+    assert pipeline.near_duplicates(spark, empty, "").count() == 0
+    ids = [r.doc_id for r in pipeline.near_duplicates(spark, odd, "").collect()]
+    assert sorted(ids, key=str) == sorted([1, 2, 4, 5, 7, None], key=str)
