@@ -13,7 +13,9 @@ Places below THRESHOLD on hosts with at least MIN_PAGES pages are noise, and blo
 declares comes first: elements that are no content by their tag, role or class names (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts, styles) go on any host, however few pages it has; where a page has an
 ``article`` or ``main``, blocks outside of it go, and its unmarked headings, paragraphs and lists stay even where copies
-of the page make them look like boilerplate. If all blocks of a page are noise, all stay; if class names
+of the page make them look like boilerplate. A class or id counts only as a whole (each of its words must be of that kind or
+neutral, so "with-sidebar" and "entry-header" say nothing), never against an article or main that it is around, and within
+an article not against sections and headings; there statistics decide. If all blocks of a page are noise, all stay; if class names
 leave a page without any block (a container named after its sidebar, say), they don't count on it.
 
 Plan. One pass parses pages (a task holds a few) and writes their places to the shared folder; another keeps blocks. Statistics are sums by host and
@@ -57,19 +59,27 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 NO_CONTENT = {"nav", "header", "footer", "aside", "form", "button", "select", "input", "label", "dialog", "menu", "search", "head", "svg", "canvas", "audio", "video", "object", "math", "datalist", "fieldset", *RAW}
 NO_CONTENT_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 NO_CONTENT_WORD = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "notice", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "disqus", "replies", "related", "recommended", "widget", "pagination", "pager", "toolbar", "copyright", "disclaimer", "hidden", "announcement", "discussion", "responses", "reply", "respond", "teaser", "teasers", "sponsors", "topbar"}
+#: Words that change nothing about a class or id that else consists of words of NO_CONTENT_WORD.
+NEUTRAL_WORD = {"area", "bar", "block", "body", "bottom", "box", "container", "inner", "item", "items", "left", "link", "links", "list", "right", "site", "slot", "top", "unit", "wrap", "wrapper"}
+#: Within an article a class or id word says nothing about these: it may be their subject.
+SUBJECT = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Plain elements that stay within an article or main element whatever the statistics say.
 PLAIN = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "section", "figure", "figcaption", "b", "i", "em", "strong", "a", "span", "code", "u", "s", "small", "sub", "sup", "q", "cite"}
 
 
-def _no_content(tag: str, attrs: dict[str, str], named_too: bool) -> bool:
+def _no_content(tag: str, attrs: dict[str, str], named_too: bool, in_article: bool) -> int:
+    """2: no content by tag, role or attribute; 1: by the words of a whole class or id; 0: neither."""
     if tag in NO_CONTENT or attrs.get("role", "").lower() in NO_CONTENT_ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    if not named_too or tag in ("html", "body", "main"):
-        return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return named != " " and not NO_CONTENT_WORD.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", named).lower()))
+        return 2
+    if not named_too or tag in ("html", "body", "main") or (in_article and tag in SUBJECT):
+        return 0
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = set(_WORDS.findall(_CAMEL.sub(" ", token).lower())) - NEUTRAL_WORD
+        if words and words <= NO_CONTENT_WORD:
+            return 1
+    return 0
 
 
 def parse(html: str) -> tuple[list[tuple[str, str, str, bool]], list[tuple[int, str]]]:
@@ -86,7 +96,7 @@ def _parse(html: str, named_too: bool) -> tuple[list[tuple[str, str, str, bool]]
     listed, nor are the places that only they have.
     """
     # open elements: tag, path, no content, in article, plain, child styles
-    stack: list[list] = [["", "", False, False, False, []]]
+    stack: list[list] = [["", "", 0, False, False, []]]
     blocks: list[list] = []  # path, text, in article, plain
     texts: list[str] = []
     kids: dict[str, list[str]] = {}
@@ -170,7 +180,8 @@ def _parse(html: str, named_too: bool) -> tuple[list[tuple[str, str, str, bool]]
         plain = tag in PLAIN and style == tag and (up[4] or not up[3]) if inside else False
         if tag in ("article", "main") and not up[3]:
             plain = True
-        e = [tag, f"{up[1]}/{style}", up[2] or _no_content(tag, attrs, named_too), inside, plain, []]
+        over = 0 if tag in ("article", "main") and not up[3] and up[2] == 1 else up[2]  # names of what is around it don't count
+        e = [tag, f"{up[1]}/{style}", over or _no_content(tag, attrs, named_too, up[3]), inside, plain, []]
         if not up[5] or up[5][-1] != style:
             up[5].append(style)
         if inside and not e[2]:

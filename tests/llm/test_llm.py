@@ -98,6 +98,16 @@ def test_page_parsing():
     assert html_style_tree.parse("")[1] == [] and [t for _, t in html_style_tree.parse("a < b <p")[1]] == ["a < b <p"]
 
 
+@pytest.mark.parametrize("around", ["layout with-sidebar", "sidebar", "widget site"])
+def test_names_lose_no_article(around):
+    """Containers around an article, and sections and titles in one, stay whatever words their names hold."""
+    got = lambda html: [t for _, t in html_style_tree.parse(html)[1]]
+    assert got(f'<a href="#x">Skip</a><div class="{around}"><article><p>x</p></article></div><p>Copyright</p>') == ["x"]
+    inner = '<div class="entry-header"><h1>Title</h1></div><p>a</p><h2 id="advertising">Advertising</h2><section id="discussion"><p>b</p></section>'
+    assert got(f'<article>{inner}<div class="share-bar">Share</div></article>') == ["Title", "a", "Advertising", "b"]
+    assert got('<div class="ad-box">Buy</div><div id="site-footer">f</div><div class="story">x</div>') == ["x"]
+
+
 def test_style_tree_drops_what_repeats(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class=x{i % 3}>Same promise on all pages</div><div class=story><p>Story {i} says {i * 7}</p></div></body>") for i in range(12)]
     rows += [(100, "http://one.example/", "<body><div class=x>Same promise on all pages</div></body>"), (101, None, None), (102, "http://h.example/z", "")]
