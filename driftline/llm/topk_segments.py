@@ -12,7 +12,7 @@ collected, and no task grows with the table.
 
 Odd rows: vectors that are null, hold null or non-finite components, or are of another length than the table's most
 common one (ties: the shorter) take no part, nor do rows with a null id; repeated ids are rows of their own, except that
-a query leaves out all rows of its own id. Components whose scores could pass 2^53 are scored in whole numbers of any
+a query leaves out all rows of its own id, and each row of a repeated query has its own k. Components whose scores could pass 2^53 are scored in whole numbers of any
 size; a score beyond 64 bits is shown as the nearest that fits. An empty table gives an empty result.
 """
 
@@ -48,7 +48,7 @@ def segment_stats(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, candidate and score of each query's k best in the block: highest score, then smallest id."""
+    """Row (in q), candidate and score of each query's k best in the block: highest score, then smallest id."""
     if not len(q) or not len(c):
         return (np.zeros(0, dtype=np.int64),) * 3
     peak = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
@@ -78,7 +78,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         some = some[c_ids[some] != q_ids[i]]
         exact = score(i, some)
         best = np.lexsort((c_ids[some], -exact))[:k] if exact_float else np.array(sorted(range(len(some)), key=lambda j: (-exact[j], c_ids[some[j]]))[:k], dtype=np.int64)
-        out[0].append(np.full(len(best), q_ids[i]))
+        out[0].append(np.full(len(best), i))
         out[1].append(c_ids[some][best])
         out[2].append(exact[best] if exact_float else np.array([max(-(2**63), min(2**63 - 1, x)) for x in exact[best]], dtype=np.int64))
     return tuple(np.concatenate(x) for x in out)
@@ -89,7 +89,7 @@ def top_k(table: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "v
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
     common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    schema = "query_id long, vec_id long, score long"
+    schema = "q_row long, query_id long, vec_id long, score long"
     if common is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n = common["count"]
@@ -97,15 +97,15 @@ def top_k(table: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "v
     c_blocks, q_blocks = max(1, -(-n // candidate_block)), max(1, -(-(n // query_every + 1) // query_block))
     deal = lambda blocks, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = rows.where(F.col("vec_id") % query_every == 0).withColumn("qb", deal(q_blocks, 1)).withColumn("cb", every(c_blocks))
+    queries = rows.where(F.col("vec_id") % query_every == 0).withColumn("q_row", F.monotonically_increasing_id()).withColumn("qb", deal(q_blocks, 1)).withColumn("cb", every(c_blocks))
     candidates = rows.withColumn("cb", deal(c_blocks, 2)).withColumn("qb", every(q_blocks))
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         ids = lambda d: d["vec_id"].to_numpy(dtype=np.int64)
         mat = lambda d: np.stack(d["v"].to_numpy()).astype(np.int64) if len(d) else np.zeros((0, 1), dtype=np.int64)
-        query, vec, score = search_block(ids(q), mat(q), ids(c), mat(c), k)
-        return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
+        row, vec, score = search_block(ids(q), mat(q), ids(c), mat(c), k)
+        return pd.DataFrame({"q_row": q["q_row"].to_numpy(dtype=np.int64)[row], "query_id": ids(q)[row], "vec_id": vec, "score": score})
 
     met = queries.groupBy("cb", "qb").cogroup(candidates.groupBy("cb", "qb")).applyInPandas(compare, schema)
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -414,6 +414,16 @@ def test_bounds_hold():
         assert (topk_segments.segment_stats(a, s) @ topk_segments.segment_stats(b, s).T >= a @ b.T - 1e-9).all()
 
 
+def test_top_k_of_repeated_queries(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(i, rnd.normal(size=8).tolist()) for i in range(60)] * 2
+    got = topk_segments.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_block=2, candidate_block=16).collect()
+    for q in (0, 20, 40):
+        own = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
+        assert [r for r, _ in own] == [i // 2 + 1 for i in range(40)]
+        assert all(sum(v == x for _, v in own) == 4 for x in {v for _, v in own})
+
+
 # --- pipeline ---
 
 
