@@ -95,6 +95,25 @@ def nearest(matched: DataFrame, keys: list[str], dist: str = "dist", tie: str =
     return matched.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def nearest_beyond(points: DataFrame, segments: DataFrame, radius: float, keys: list[str], n: str = "n", e: str = "e") -> DataFrame:
+    """The nearest segment, however far, of points that have none nearer than `radius`: columns as of radius_join.
+
+    First within eight radii, then within a radius beyond any distance; points without finite coordinates have none.
+    """
+    real = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < 1e9)  # noqa: E731  NaN is above all numbers
+    out, left = radius_join(points, segments, radius).where("false"), points.where(real(n) & real(e))
+    left = left.join(radius_join(left, segments, radius).select(*keys).distinct(), keys, "left_anti")
+    if segments.isEmpty():
+        return out
+    most = lambda df, *c: df.agg(F.max(F.greatest(*(F.abs(x) for x in c), F.lit(0.0)))).first()[0] or 0.0
+    beyond = 3 * (most(left, n, e) + most(segments, "p1n", "p1e", "p2n", "p2e")) + 1  # more than any distance
+    for reach in (8 * radius, beyond):
+        found = nearest(radius_join(left, segments, reach, cell=max(50.0, reach)), keys)
+        out = out.unionByName(found)
+        left = left.join(found.select(*keys), keys, "left_anti")
+    return out
+
+
 def lag_table(a: DataFrame, b: DataFrame, by: list[str], tick: str, x: str, y: str, max_lag: int, min_overlap: int = 3, zero: bool = False) -> DataFrame:
     """by, lag, r, n: correlation of a's x at tick i with b's y at tick i - lag, for every lag up to `max_lag`.
 

@@ -48,9 +48,11 @@ def est_corridor_kf(spark, d):
 
 @query("geo_viterbi")
 def geo_viterbi(spark, d):
-    pts = _points(spark, d).select((F.expr("event_id div 2000")).alias("drive"), (F.col("event_id") % 2000).alias("seq"), "n", (F.col("e") / 4).alias("e")).where("seq % 10 = 0")
+    """Every point; one without a segment within 25 m has its nearest as only candidate."""
+    pts = _points(spark, d).select((F.expr("event_id div 2000")).alias("drive"), (F.col("event_id") % 2000).alias("seq"), "n", (F.col("e") / 4).alias("e"))
     mid = _polyline(spark, d).select("seg_id", ((F.col("p1n") + F.col("p2n")) / 2).alias("mid_n"), ((F.col("p1e") + F.col("p2e")) / 2).alias("mid_e"))
-    m = J.radius_join(pts, _polyline(spark, d), 25.0).join(mid, "seg_id")
+    near = J.radius_join(pts, _polyline(spark, d), 25.0)
+    m = near.unionByName(J.nearest_beyond(pts, _polyline(spark, d), 25.0, ["drive", "seq"])).join(mid, "seg_id")
     return E.map_match(m.select("drive", "seq", "n", "e", "seg_id", "dist", "mid_n", "mid_e"), "drive")
 
 

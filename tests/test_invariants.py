@@ -222,3 +222,18 @@ def test_schedule_within_bounds(spark):
     rows = E.schedule(s, "session_id", "d").orderBy("session_id", "start_s").collect()
     assert all(20 <= r.end_s - r.start_s <= 50 and r.start_s >= 60 for r in rows)
     assert {r.session_id for r in rows} == {"a"}
+
+
+def test_viterbi_matches_every_point(spark, data):
+    got = K.geo_viterbi(spark, data)
+    want = K._points(spark, data).selectExpr("event_id div 2000 AS drive", "event_id % 2000 AS seq")
+    assert got.count() == want.count() > 0 and want.join(got, ["drive", "seq"], "left_anti").isEmpty()
+
+
+def test_nearest_beyond(spark):
+    from driftline.operators import joins as J
+
+    seg = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (2, 0.0, 500.0, 10.0, 500.0)], "seg_id long, p1n double, p1e double, p2n double, p2e double")
+    pts = spark.createDataFrame([(1, 5.0, 3.0), (2, 5.0, 240.0), (3, 5.0, 9000.0), (4, None, 1.0)], "id long, n double, e double")
+    got = {r.id: (r.seg_id, round(r.dist, 6)) for r in J.nearest_beyond(pts, seg, 25.0, ["id"]).collect()}
+    assert got == {2: (1, 240.0), 3: (2, 8500.0)}
