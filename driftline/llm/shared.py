@@ -80,6 +80,22 @@ def maybe_broadcast(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if small_enough(rows, bytes_a_row) else df
 
 
+def measured_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if the rows of `df`, measured with their strings and arrays, take at most `limit` bytes.
+
+    `df` should be a table in the shared folder or little more, as it is read to be measured.
+    """
+    bytes_of = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            bytes_of = bytes_of + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        elif kind == "array":
+            bytes_of = bytes_of + F.coalesce(F.octet_length(F.to_json(F.col(f.name))), F.lit(0))
+    total = df.agg(F.sum(bytes_of)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that `df` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -1,10 +1,12 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and over odd rows."""
 
+import functools
 import hashlib
 import json
 import random
 import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -93,15 +95,16 @@ def test_page_parsing():
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Menu</ul></nav><div class="ad-box">Buy</div>
     <article><h1>Head &amp; line</h1><p><b>One<br><p>two  <i>three</i><script>if(a<b)"</p>"</script> four<ul><li>x<li>y</ul><aside>side</aside><form>f<input></form>
     <div class="cookieNotice">c</div><div id="comments"><p>reader</p></div></article><p>outside</p><footer>f</footer>"""
-    assert [t for _, t in html_style_tree.parse(page)[1]] == ["Head & line", "One", "two three four", "x", "y"]
-    assert [t for _, t in html_style_tree.parse("<div class=with-sidebar><article><p>x</p></article></div>")[1]] == ["x"]
-    assert html_style_tree.parse("")[1] == [] and [t for _, t in html_style_tree.parse("a < b <p")[1]] == ["a < b <p"]
+    blocks = lambda html: html_style_tree.main_blocks(html_style_tree.parse(html))
+    assert blocks(page) == ["Head & line", "One", "two three four", "x", "y"]
+    assert blocks("<div class=with-sidebar><article><p>x</p></article></div>") == ["x"]
+    assert blocks("") == [] and blocks("a < b <p") == ["a < b <p"]
 
 
 @pytest.mark.parametrize("around", ["layout with-sidebar", "sidebar", "widget site"])
 def test_names_lose_no_article(around):
     """Containers around an article, and sections and titles in one, stay whatever words their names hold."""
-    got = lambda html: [t for _, t in html_style_tree.parse(html)[1]]
+    got = lambda html: html_style_tree.main_blocks(html_style_tree.parse(html))
     assert got(f'<a href="#x">Skip</a><div class="{around}"><article><p>x</p></article></div><p>Copyright</p>') == ["x"]
     inner = '<div class="entry-header"><h1>Title</h1></div><p>a</p><h2 id="advertising">Advertising</h2><section id="discussion"><p>b</p></section>'
     assert got(f'<article>{inner}<div class="share-bar">Share</div></article>') == ["Title", "a", "Advertising", "b"]
@@ -116,6 +119,88 @@ def test_style_tree_drops_what_repeats(spark):
     assert got[100] == "Same promise on all pages" and got[101] == got[102] == ""
 
 
+def brute_importance(pages):
+    """Composite importance and peak of every place by the recursive definition, from {host: [parsed pages]}."""
+    import math
+
+    out = {}
+    for host, own in pages.items():
+        once = list({"\n".join(b[1] for b in p.blocks): p for p in own}.values())
+        held = {}
+        for p in once:
+            for path in p.looks:
+                held.setdefault(path, []).append(p)
+        entropy = lambda counts, m: -sum(n / m * math.log(n / m, m) for n in counts)
+
+        @functools.cache
+        def content(path):
+            texts = Counter("\n".join(p.texts[path]) for p in held[path] if path in p.texts)  # noqa: B023
+            m = len(held[path])  # noqa: B023
+            return None if not texts else 1.0 if m == 1 else 1 - sum(math.log(n, m) for n in texts.values()) / len(texts)
+
+        @functools.cache
+        def composite(path):
+            m = len(held[path])  # noqa: B023
+            if m == 1:
+                return 1.0
+            looks = Counter("|".join(p.looks[path]) for p in held[path])  # noqa: B023
+            inner = html_style_tree.GAMMA ** len(looks)
+            below = 0.0
+            for look, n in looks.items():
+                kids = set(look.split("|")) - html_style_tree.VOID - {""}
+                for k in kids:
+                    below += n / m / len(kids) * ((content(path) or 0.0) if k == html_style_tree.TEXT else composite((*path, k)))
+            return (1 - inner) * entropy(looks.values(), m) + inner * below  # noqa: B023
+
+        for path in held:
+            if path:
+                branch = [x for x in held if x[: len(path)] == path]
+                out[html_style_tree._hash(host), html_style_tree._Hashes().chain(path)[-1]] = (composite(path), max(max(composite(x), content(x) or 0.0) for x in branch))
+    return out
+
+
+def test_importance_equals_recursion(spark):
+    rnd = random.Random(9)
+
+    def tree(depth):
+        if depth == 0 or rnd.random() < 0.2:
+            return rnd.choice(["same", "menu one", f"unique {rnd.random()}", "", "<br>x"])
+        return "".join(f"<{t}{c}>{tree(depth - 1)}</{t.split()[0]}>" for t, c in [(rnd.choice(["div", "ul", "section", "span"]), rnd.choice(["", " class=a", " id=b3"])) for _ in range(rnd.randint(1, 3))])
+
+    rows = []
+    for host in range(20):
+        shapes = [tree(4) for _ in range(3)]
+        rows += [(len(rows) + i, f"http://h{host}.example/", rnd.choice(shapes).replace("unique", f"unique {rnd.randrange(3)}")) for i in range(rnd.randint(1, 9))]
+    got = {(r.site, r.path): (r.importance, r.peak) for r in html_style_tree.importance(html_style_tree.site_places(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    pages = {}
+    for _, url, html in rows:
+        pages.setdefault(html_style_tree.host_of(url), []).append(html_style_tree.parse(html))
+    want = brute_importance(pages)
+    assert got.keys() == want.keys() and len(want) > 100
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_tree_decides_without_class_names(spark, monkeypatch):
+    """On a host with enough pages menus, adverts and footers go by the tree alone, also with no class name known."""
+    rnd = random.Random(3)
+    story = lambda: "".join(f"<p>{' '.join(rnd.choice('abcdefgh') * 3 + str(rnd.random()) for _ in range(9))}</p>" for _ in range(3))
+    rows = [(i, "http://h.example/", f"<body><div class=menu>Menu {i % 3}</div><div class=ad>Buy {i % 5}</div><article><h1>T {i}</h1>{story()}<div class=box>Read our promise</div></article><div>Notice {i % 2}</div></body>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    named = {r.page_id: r for r in html_style_tree.main_text(df).collect()}
+    assert all(r.n_noise == 4 and r.n_declared == 0 and r.n_blocks == 8 and r.text.startswith(f"T {i}\n") for i, r in named.items())
+    monkeypatch.setattr(html_style_tree, "NO_CONTENT_WORD", set())
+    assert {r.page_id: r.text for r in html_style_tree.main_text(df).collect()} == {i: r.text for i, r in named.items()}
+
+
+def test_odd_pages(spark):
+    deep = "<div>" * 3000 + "core" + "</div>" * 3000
+    rows = [(1, "http://h.example/", "<p>a</p>", 1), (1, "http://h.example/", "<p>b</p>", 2), (1, None, "<p>c</p>", 3), (1, "<p>c</p>", None, 4), (2, "http://h.example/", deep, 5), (3, "http://[", "<p>" + "word " * 400_000 + "</p>", 6), (None, "http://h.example/", "<p>d", 7), (1, "http://h.example/", "<p>a</p>", 1)]
+    df = spark.createDataFrame([(*r, "z", "z", "z") for r in rows], "page_id long, url string, html string, row int, host string, blocks string, article string")
+    got = sorted(((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in html_style_tree.main_text(df).collect()), key=str)
+    want = [(1, "http://h.example/", "a", 1), (1, "http://h.example/", "a", 1), (1, "http://h.example/", "b", 1), (1, "", "c", 1), (1, "<p>c</p>", "", 0), (2, "http://h.example/", "core", 4), (3, "http://[", ("word " * 400_000).strip(), 1_999_999), (0, "http://h.example/", "d", 1)]
+    assert got == sorted(want, key=str)
+
+
 def test_copies_of_an_article_stay(spark):
     rows = [(i, "http://h.example/a", "<body><article><h1>T</h1><p>The same text.</p></article></body>") for i in range(8)]
     got = html_style_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
