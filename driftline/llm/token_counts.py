@@ -6,6 +6,10 @@ link, the state after cutting off the longest pieces that are sure, and the numb
 once: a character without an arc adds the popped count and follows the link, so counting is linear in the word and never
 builds a piece. A word that can't be cut counts as one unknown token.
 
+The vocabulary is one of bytes, and so is the automaton: it reads a word's UTF-8 bytes after a space byte. Pieces that
+begin with a space are the word-initial ones, all others continue a word, and pieces that end within a character count
+like any other. Where a vocabulary has all single bytes and the space, no word is unknown.
+
 A text's words are its white-space separated parts. Each word of a batch is counted once, then counts are summed by text
 in numpy.
 
@@ -90,18 +94,21 @@ class LongestMatch:
 
 
 def pieces_of_byte_bpe(tokenizer_json: str) -> tuple[set[str], set[str]]:
-    """Initial and continuing pieces from a byte-level BPE vocabulary: those with and without a space before them."""
-    back = {chr(v): k for k, v in _byte_letters().items()}
-    initial, continuing = set(), set()
-    for token in json.loads(tokenizer_json)["model"]["vocab"]:
-        try:
-            text = bytes(back[c] for c in token).decode()
-        except (KeyError, UnicodeDecodeError):
-            continue
-        word = text.removeprefix(" ")
-        if word and word.split() == [word]:
-            (initial if text != word else continuing).add(word)
-    return initial, continuing
+    """Initial and continuing pieces of a byte-level BPE vocabulary: those that begin with a space, and the others.
+
+    A piece is a string with a character below 256 for each byte; special tokens are no pieces.
+    """
+    spec = json.loads(tokenizer_json)
+    back = {chr(v): chr(k) for k, v in _byte_letters().items()}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    pieces = {"".join(back[c] for c in token) for token in spec["model"]["vocab"] if token not in special and all(c in back for c in token)}
+    initial = {p for p in pieces if p.startswith(" ")}
+    return initial, pieces - initial
+
+
+def as_bytes(word: str) -> str:
+    """What the automaton reads for a word: a space and the word's bytes."""
+    return f" {word}" if word.isascii() else " " + word.encode("utf-8", "surrogatepass").decode("latin-1")
 
 
 _automata: dict[int, tuple[LongestMatch, dict[str, int]]] = {}
@@ -134,7 +141,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     known.clear()
                 for w in words:
                     if w not in known:
-                        known[w] = automaton.count(w)
+                        known[w] = automaton.count(as_bytes(w)) if w else 0
                 sizes = np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
                 each = sizes[encoded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, dtype=np.int64)
                 offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
