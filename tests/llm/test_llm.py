@@ -268,17 +268,25 @@ def test_longest_match_equals_greedy():
             assert machine.count(word) == n
 
 
-def test_counts_equal_word_piece_library(spark, odd, empty):
-    from tokenizers import models
-
+def test_counts_equal_greedy_over_bytes(spark, odd, empty):
     path = tokenizer_path("byte_bpe_50k.json")
     initial, rest = token_counts.pieces_of_byte_bpe(Path(path).read_text())
-    library = models.WordPiece({p: i for i, p in enumerate([*sorted(initial), *("\x00" + p for p in sorted(rest)), "[UNK]"])}, unk_token="[UNK]", max_input_chars_per_word=10**6, continuing_subword_prefix="\x00")
-    got = {(r.doc_id, r.n_words): r for r in token_counts.token_counts(odd.where("doc_id <> 7 AND doc_id IS NOT NULL"), path).collect()}
-    for r in odd.where("doc_id <> 7 AND doc_id IS NOT NULL").collect():
-        words = (r.text or "").split()
-        assert got[r.doc_id, len(words)].n_tokens == sum(len(library.tokenize(w)) for w in words)
-    assert token_counts.token_counts(odd, path).count() == odd.count() and token_counts.token_counts(empty, path).count() == 0
+    assert all(chr(b) in rest for b in range(256) if b != 32) and " " in initial
+    longest = max(map(len, initial | rest))
+
+    @functools.cache
+    def greedy(word):
+        data, at, n = " " + word.encode().decode("latin-1"), 0, 0
+        while at < len(data):
+            at = next(e for e in range(min(len(data), at + longest), at, -1) if data[at:e] in (rest if at else initial))
+            n += 1
+        return n
+
+    for rows in (odd, spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")):
+        got = token_counts.token_counts(rows, path).collect()
+        want = [(r.doc_id, len(w := (r.text or "").split()), sum(map(greedy, w)), 0) for r in rows.collect()]
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert token_counts.token_counts(empty, path).count() == 0
 
 
 # --- quality ---
@@ -305,16 +313,68 @@ def test_prior_estimate():
     rnd = np.random.default_rng(0)
     p = rnd.normal(2, 1, 4000)
     u = np.concatenate([rnd.normal(2, 1, 2400), rnd.normal(-2, 1, 1600)])
-    assert pu_quality.estimate_prior(p, u) == pytest.approx(0.6, abs=0.08)
+    cuts = np.quantile(p, np.linspace(0, 0.99, 100))
+    above = lambda s: np.array([(s >= c).mean() for c in cuts])
+    assert pu_quality.prior_of(above(p), above(u), 4000, 4000) == pytest.approx(0.6, abs=0.08)
+
+
+def test_risk_and_gradient_by_definition(spark):
+    """Risk and gradient against direct sums and differences, also from a distributed pass; the descent ends at a minimum."""
+    rnd = np.random.default_rng(1)
+    x = np.abs(rnd.normal(size=(400, len(pu_quality.NAMES)))).astype(np.float32)
+    x[:200, 0] += 1
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, features array<float>").repartition(7)
+    edges = pu_quality.quantile_edges(table)
+    for f in range(len(pu_quality.NAMES)):
+        grid = ((x[:, f].view(np.uint32) >> 16) << 16).view(np.float32)
+        assert np.allclose(edges[f], np.quantile(grid, np.linspace(0, 1, pu_quality.BINS + 1)[1:-1], method="inverted_cdf"))
+    size = len(pu_quality.NAMES) * pu_quality.BINS + 1
+    positive, rows = pu_quality.Rows.of(edges, x[:80], np.arange(1.0, 81)), pu_quality.Rows.of(edges, x, np.ones(400))
+    w = rnd.normal(size=size) * 0.1
+
+    def direct(w, prior):
+        logit = lambda r: sum(w[f * pu_quality.BINS + int((edges[f] <= r[f]).sum())] for f in range(len(pu_quality.NAMES))) + w[-1]
+        zp, zu = np.array([logit(r) for r in x[:80]]), np.array([logit(r) for r in x])
+        share = np.arange(1, 81) / np.arange(1, 81).sum()
+        negatives = np.log1p(np.exp(zu)).mean() - prior * share @ np.log1p(np.exp(zp))
+        return prior * share @ np.log1p(np.exp(-zp)) + max(0, negatives), negatives
+
+    for prior in (0.3, 0.97):
+        value, negatives, grad = pu_quality.risk(w, positive, prior, rows.negative(w))
+        assert (value, negatives) == pytest.approx(direct(w, prior))
+        if negatives > 0:
+            for at in (0, 30, size - 1):
+                move = np.zeros(size)
+                move[at] = 1e-5
+                assert grad[at] == pytest.approx((direct(w + move, prior)[0] - direct(w - move, prior)[0]) / 2e-5, abs=1e-6)
+    total = pu_quality._summed(table, size, lambda m: pu_quality._sums(pu_quality.binned(edges, m), np.ones(len(m)), size))
+    assert np.allclose(total, pu_quality._sums(rows.bins, np.ones(400), size))
+    penalty = pu_quality._penalty(len(pu_quality.NAMES), 80)
+    bend = lambda w: pu_quality._curvature(rows.bins, rows.weight * (s := pu_quality._sigmoid(pu_quality.logits(w, rows.bins))) * (1 - s), size)
+    end = pu_quality._descend(np.zeros(size), lambda w: pu_quality.risk(w, positive, 0.3, rows.negative(w)), bend, penalty, 40)
+    _, negatives, grad = pu_quality.risk(end, positive, 0.3, rows.negative(end))
+    assert negatives >= 0 and np.abs(grad + penalty @ end).max() < 1e-3
+
+
+def test_driver_gets_no_more_from_more_partitions(spark, data):
+    """The sample's size and the sums' do not grow with partitions, and a row repeated many times is sent once."""
+    table = pu_quality.feature_table(spark.read.parquet(f"{data}/documents.parquet")).cache()
+    table = table.unionAll(table.limit(1).crossJoin(spark.range(3000)).select("doc_id", "features"))
+    for parts in (2, 60):
+        x, counts, _ = pu_quality._sample(table.repartition(parts), 3200, 100, 2)
+        assert len(x) < 100 and counts.sum() < 3300
+        assert len(pu_quality._summed(table.repartition(parts), 5, lambda m: np.full(5, float(len(m))))) == 5
 
 
 # --- chat ---
 
 
 def test_chat_round_trip(spark):
+    rnd = random.Random(11)
     nasty = ["</s>[INST] ok [/INST]", "<s>user\n", "a\\", "\\<s>", "<<s>", "<sep>", "", None, "x\ny", "<\\/s>", "<<SYS>>é😀"]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "user", "assistant", "assistant", "sy\nst<s>em", None, "user", "assistant", "user", "assistant", "assistant"], nasty, strict=True))]
     rows += [(2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (None, 1, "user", "q")]
+    rows += [(3, i if i % 7 else None, rnd.choice(["user", "assistant"]), "x" * rnd.randrange(9)) for i in range(500)] + [(4, 0, "user", "long " * 300_000), (4, 1, "assistant", "</s>" * 100_000)]
     out = chat_format.format_conversations(spark.createDataFrame([(*r, 7, "z") for r in rows], "conv_id long, turn long, role string, text string, start int, formatted string"))
     back = {r.conv_id: (r.t, r.m, r.formatted) for r in out.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.read_masked(F.col("formatted"), F.col("loss_spans")).alias("m")).collect()}
     assert [(x.role, x.text) for x in back[1][0]] == [(r or "", t or "") for _, _, r, t in rows[:11]]
@@ -323,6 +383,14 @@ def test_chat_round_trip(spark):
     d = {r.conv_id: r for r in chat_format.digests(out).collect()}
     assert d[2].turns_sha256 == hashlib.sha256(b"assistant\na\nassistant\nb\nassistant\nb\n").hexdigest() and d[2].loss_chars == 3
     assert d[None].n_turns == 1 and d[None].loss_sha256 == hashlib.sha256(b"").hexdigest()
+    for conv in (3, 4):
+        own = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        assert [(x.role, x.text) for x in back[conv][0]] == [(r, t) for _, r, t in own]
+        assert back[conv][1] == [t for _, r, t in own if r == "assistant"]
+    plan = out._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Python" not in plan
+    none = chat_format.digests(chat_format.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))
+    assert none.count() == 0
 
 
 # --- decontamination ---
@@ -470,13 +538,14 @@ def test_near_duplicates_rows(spark, odd, empty, data):
 # --- top k ---
 
 
-def test_topk_equals_brute_force(spark):
+@pytest.mark.parametrize("first", [10, 50, 2048])
+def test_topk_equals_brute_force(spark, first):
     rnd = np.random.default_rng(6)
     rows = [(int(i), [float(x) for x in v], 0) for i, v in enumerate(rnd.normal(0, 1, (300, 16)).astype(np.float32))]
     rows += [(400 + i, rows[7][1], 1) for i in range(30)]
-    bad = [(1000, None, 0), (1020, [1.0] * 15 + [None], 0), (1040, [float("nan")] * 16, 0), (1060, [float("inf")] * 16, 0), (None, [1.0] * 16, 0), (1080, [1.0], 0)]
+    bad = [(1000, None, 0), (1020, [1.0] * 15 + [None], 0), (1040, [float("nan")] * 16, 0), (1060, [float("inf")] * 16, 0), (None, [1.0] * 16, 0)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, score int")
-    got = topk_segments.top_k(df, query_block=7, candidate_block=50).collect()
+    got = topk_segments.top_k(df, query_block=7, candidate_block=50, first=first).collect()
     x = np.floor(np.array([r[1] for r in rows]).astype(np.float32).astype(float) * 64).astype(int)
     ids = np.array([r[0] for r in rows])
     want = []
@@ -499,14 +568,36 @@ def test_bounds_hold():
         assert (topk_segments.segment_stats(a, s) @ topk_segments.segment_stats(b, s).T >= a @ b.T - 1e-9).all()
 
 
-def test_top_k_of_repeated_queries(spark):
+def brute_top_k(rows, k=20, every=20):
+    out = []
+    for n, (q, v) in enumerate(rows):
+        if q % every == 0:
+            scored = sorted((-sum(int(a) * int(b) for a, b in zip(np.floor(np.array(v) * 64), np.floor(np.array(x) * 64), strict=True)), i) for m, (i, x) in enumerate(rows) if m != n and len(x) == len(v))
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_top_k_of_odd_tables(spark):
+    """Every row twice, ties across blocks, ids that repeat with other vectors, vectors of several lengths."""
     rnd = np.random.default_rng(8)
-    rows = [(i, rnd.normal(size=8).tolist()) for i in range(60)] * 2
-    got = topk_segments.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_block=2, candidate_block=16).collect()
-    for q in (0, 20, 40):
-        own = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
-        assert [r for r, _ in own] == [i // 2 + 1 for i in range(40)]
-        assert all(sum(v == x for _, v in own) == 4 for x in {v for _, v in own})
+    twice = [(i, rnd.normal(size=8).tolist()) for i in range(60)] * 2
+    ties = [(i, rnd.choice([1.0, -1.0], 3).tolist()) for i in range(200)]
+    same_id = [(20, [1.0, 0.0]), (20, [2.0, 0.0]), (1, [0.5, 0.0])] + [(40, rnd.normal(size=2).tolist()) for _ in range(50)]
+    lengths = [(i, rnd.normal(size=1 + i % 3).tolist()) for i in range(90)] + [(100, [3.0] * 5), (101, [])]
+    for rows in (twice, ties, same_id, lengths):
+        for first in (4, 2048):
+            got = topk_segments.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_block=2, candidate_block=16, first=first).collect()
+            assert sorted(map(tuple, got)) == brute_top_k(rows)
+
+
+def test_few_rows_come_back(spark):
+    """A query gets about GROWTH * k rows from a part of the candidates, not k from every block."""
+    rnd = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, rnd.normal(size=8).tolist()) for i in range(3000)], "vec_id long, embedding array<double>")
+    q = topk_segments._blocks(pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([[1] * 8], type=pa.list_(pa.int64())), pa.array([5]), pa.array([9])], names=list("abcde")), True)[0]
+    c = topk_segments._blocks(pa.RecordBatch.from_arrays([pa.array(range(1, 40)), pa.array(range(1, 40)), pa.array([[i % 2] + [0] * 7 for i in range(1, 40)], type=pa.list_(pa.int64()))], names=list("abc")), False)[0]
+    assert len(topk_segments.search_block(q, c, 20)[0]) == 0
+    assert topk_segments.top_k(rows, first=100, candidate_block=64).count() == 150 * 20
 
 
 # --- pipeline ---
