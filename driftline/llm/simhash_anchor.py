@@ -16,7 +16,9 @@ compares it with all that no component has claimed, and goes on from those found
 steps as it has members. Copies never get this far: the work is on distinct fingerprints. Anchors with more than CHUNK
 rows are cut into chunks, and every two chunks of the anchor meet in a task of their own, so no task holds more than
 twice CHUNK rows and nothing is left out. Components come from rounds of hooking and pointer jumping, all distributed;
-each round is written to the shared folder.
+each round is written to the shared folder. Joins on a root, a parent or a fingerprint, of which one can have very many
+rows, take the side that has one row of each as a broadcast if its measured bytes are few, and are otherwise joins of two
+plain tables, whose skewed keys adaptive execution splits.
 
 Odd rows: a null or empty text has fingerprint zero; a null doc_id keeps its row, and its component is named by the
 smallest doc_id that isn't null (null if there is none); repeated rows stay; an empty table gives an empty result.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import fresh, maybe_broadcast, remove, shared_path, written
+from driftline.llm.shared import fresh, maybe_broadcast, measured_broadcast, remove, shared_path, written
 
 THRESHOLD = 4
 #: (first bit, bits) of each block.
@@ -270,28 +272,30 @@ def components(edges: DataFrame) -> DataFrame:
         used.append(shared_path(spark, "hook"))
         hook = written(hook, "hook", used[-1])
         while True:
-            up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+            up = measured_broadcast(hook.select(F.col("node").alias("parent"), F.col("parent").alias("grand")))
             jumped = hook.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved"))
             used.append(shared_path(spark, "hook"))
             jumped = written(jumped, "hook", used[-1])
             hook = jumped.select("node", "parent")
             if jumped.where("moved").isEmpty():
                 break
-        root = lambda side: hook.select(F.col("node").alias(side), F.col("parent").alias(f"{side}_root"))
+        root = lambda side: measured_broadcast(hook.select(F.col("node").alias(side), F.col("parent").alias(f"{side}_root")))
         moved = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y")).where("x != y")
         used.append(shared_path(spark, "edges"))
         edges = written(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges", used[-1])
         if parents is None:
             parents = hook.select("node", F.col("parent").alias("root"))
         else:
-            step = hook.select(F.col("node").alias("root"), F.col("parent").alias("next"))
+            step = measured_broadcast(hook.select(F.col("node").alias("root"), F.col("parent").alias("next")))
             grown = parents.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
             parents = grown.unionByName(hook.join(parents.select("node"), "node", "left_anti").select("node", F.col("parent").alias("root")))
         used.append(shared_path(spark, "parents"))
         parents = written(parents, "parents", used[-1])
     for path in used[:-1]:
         remove(spark, path)
-    return parents if parents is not None else spark.createDataFrame([], "node long, root long")
+    if parents is None:
+        return spark.createDataFrame([], "node long, root long")
+    return parents.unionByName(parents.select(F.col("root").alias("node"), "root").distinct())  # a root never hooks
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -299,15 +303,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct.select("fp")))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints, written(named.join(least, "root").select("fp", "root", "component_id"), "components")
+    named = written(distinct.join(measured_broadcast(roots), distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked")), "named")
+    # Only linked fingerprints have others in their component; the least of each is a table, so that a join with many
+    # fingerprints of one root can be split.
+    least = written(named.where("linked").groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    linked = named.where("linked").join(measured_broadcast(least), "root").select("fp", "root", "component_id")
+    alone = named.where("NOT linked").select("fp", "root", F.col("first_id").alias("component_id"))
+    return prints, written(linked.unionByName(alone), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row."""
     prints, classes = _classes(docs, id_col, text_col)
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(measured_broadcast(classes), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,7 +323,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints, classes = _classes(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("id"), "text_hash"]
-    first = prints.join(classes, "fp").groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    first = prints.join(measured_broadcast(classes), "fp").groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
     names = fresh(docs, "first_none", "first_id", "first_hash")
     marked = docs.withColumns({names[0]: F.col(id_col).isNull(), names[1]: F.coalesce(F.col(id_col), F.lit("0").cast(kind)), names[2]: F.xxhash64(text_col)})
     kept = marked.join(first.toDF(*names), names, "left_semi")
