@@ -1,21 +1,30 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Four machines are compiled from a model file:
-
-* the normaliser: a dummy prefix, and a space becomes the model's space mark (models with a character map are refused);
-* the pieces: a trie over characters whose final states emit piece ids;
-* byte fallback: a character that is no piece goes over an arc that emits its UTF-8 bytes' pieces;
-* for models of type BPE, an acceptor over adjacent pieces: a pair is let through if merging the two pieces' characters
-  by score gives those two pieces back. A sequence is what BPE merging gives exactly if all adjacent pairs pass, so a
-  path of finite weight is the library's own segmentation. For unigram models every pair passes and an arc weighs its
-  negative score.
-
-An input is composed with them as it is read: a state is a position with the piece that ends there, and the tropical
-shortest path is found from left to right. Under the pair acceptor one piece can end at a position, so a state is kept
-per position; otherwise the lightest.
-
-Since no piece holds a space mark after another character, a text's chunks (space marks and what follows up to the next)
-are independent, as is whatever stands beside a character without a piece. Chunks come from a bounded memory.
+Machines are compiled from a model file, with weights in the tropical semiring (a path weighs the sum of its arcs, of
+several paths the lightest counts, and an infinite weight forbids one):
+
+* the normaliser: an arc before the first character emits the dummy prefix, a space becomes the model's space mark, and
+  every other character itself (models with a character map are refused);
+* the pieces: a trie over characters whose final states emit piece ids. It is composed with the normaliser when the model
+  is compiled: wherever a piece goes on with a space mark, the composed machine has an arc for a space as well, so it
+  reads texts as they are;
+* byte fallback: a character that is no piece goes over an arc that emits its UTF-8 bytes' pieces (or the unknown piece);
+* for models of type BPE, an acceptor over adjacent pieces: a pair weighs nothing if merging the two pieces' characters
+  by score gives those two pieces back, and is forbidden otherwise. A sequence is what BPE merging gives exactly if all
+  adjacent pairs are let through.
+
+Weights. In a unigram model a piece weighs its negative score and fallback 10 more than the worst piece, so weights order
+the paths and the lightest is the library's segmentation. Scores of a BPE model are ranks of merges and no weights: the
+library's segmentation is not the lightest path by any sum of them. There the acceptor's infinite weights forbid every
+path but one, whatever finite weights the arcs have, and the shortest path is that one.
+
+An input is composed with them as it is read: a state is a position with the piece that ends there. For unigram models the
+tropical shortest path is found by relaxing positions from left to right. Under the pair acceptor only one piece can end
+at a position by a path of finite weight, so whichever path gets to the end is the shortest: it is searched depth first,
+longest piece first, and no position is entered twice.
+
+Since no piece holds a space mark after another character, a text's chunks (spaces and what follows up to the next) are
+independent, as is whatever stands beside a character without a piece. Chunks come from a bounded memory.
 
 Odd rows: a null text is an empty one, which has no ids; texts of any length are cut into chunks, so a path never spans
 more than a chunk; repeated rows stay; an empty table gives an empty result. A space mark in a text decodes as a space,
@@ -42,7 +51,7 @@ MARK = "▁"
 CHUNKS_REMEMBERED = 300_000
 PAIRS_REMEMBERED = 500_000
 _CUT = "\x1e"
-_CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+_CHUNKS = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+|\n")
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -60,16 +69,17 @@ class Transducer:
             raise ValueError("models with a character map or white-space clean-up are not supported")
         if any(p.type == _USER for p in proto.pieces):
             raise ValueError("models with user-defined pieces are not supported")
-        self.prefix = MARK if spec.add_dummy_prefix else ""
+        self.prefix = " " if spec.add_dummy_prefix else ""  # read like a space of the text's own
         self.bpe = proto.trainer_spec.model_type == _BPE
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN), 0)
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == _NORMAL}
         self.names = [p.piece for p in proto.pieces]
         self.weights = [p.score for p in proto.pieces]
+        self.unknown_weight = 10.0 - min((p.score for p in proto.pieces if p.type == _NORMAL), default=0.0)
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids) or "\n" in "".join(self.ids):
             raise ValueError("pieces across white space are not supported")
-        # The piece trie: a state's arcs by character; state 0 is the start; emits[state] is a piece id or -1.
+        # Normaliser and pieces composed: a state's arcs by character; state 0 is the start; emits[state] is a piece id or -1.
         self.arcs: list[dict[str, int]] = [{}]
         self.emits: list[int] = [-1]
         for piece, i in self.ids.items():
@@ -78,7 +88,7 @@ class Transducer:
                 nxt = self.arcs[state].get(c)
                 if nxt is None:
                     nxt = len(self.arcs)
-                    self.arcs[state][c] = nxt
+                    self.arcs[state].update((x, nxt) for x in self.read_as(c))
                     self.arcs.append({})
                     self.emits.append(-1)
                 state = nxt
@@ -99,6 +109,11 @@ class Transducer:
         self.out_starts = np.cumsum(self.out_sizes) - self.out_sizes
         self.out_bytes = np.frombuffer(b"".join(out), dtype=np.uint8)
 
+    @staticmethod
+    def read_as(c: str) -> str:
+        """The characters for which the normaliser gives this one."""
+        return f" {MARK}" if c == MARK else "" if c == " " else c
+
     def _surface(self, i: int, kind: int) -> bytes:
         if kind == _BYTE:
             return bytes([int(self.names[i][1:-1], 16)])
@@ -176,43 +191,64 @@ class Transducer:
     # --- composition and shortest path ------------------------------------------------------------------------------
 
     def path(self, chunk: str) -> list[int]:
-        """Ids on the shortest path of a chunk through pieces, byte fallback and pair acceptor."""
-        n = len(chunk)
-        inf = float("inf")
+        """Ids on the shortest path of a chunk through pieces, byte fallback and, for BPE, the pair acceptor."""
+        got = self._only_path(chunk) if self.bpe else self._lightest_path(chunk)
+        if not self.bytes:  # the library joins neighbouring unknown characters
+            got = [x for i, x in enumerate(got) if x != self.unknown or not i or got[i - 1] != x]
+        return got
+
+    def _fallback(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+
+    def _only_path(self, chunk: str) -> list[int]:
+        n, at, prev = len(chunk), 0, -1
+        arcs, emits, pairs, size = self.arcs, self.emits, self.pairs, len(self.names)
+        entered = bytearray(n + 1)
+        trail: list[tuple[int, int, list[tuple[int, int]], int]] = []  # position, piece before, ways left, way taken
+        while at < n:
+            state, ways = 0, []
+            for end in range(at, n):
+                state = arcs[state].get(chunk[end])
+                if state is None:
+                    break
+                if emits[state] >= 0 and not entered[end + 1]:
+                    ways.append((end + 1, emits[state]))
+            if (MARK if chunk[at] == " " else chunk[at]) not in self.ids and not entered[at + 1]:
+                ways.append((at + 1, -1))
+            while True:
+                while not ways:
+                    if not trail:
+                        raise ValueError(f"no path through {chunk!r}")
+                    at, prev, ways, _ = trail.pop()
+                end, piece = ways.pop()
+                if entered[end]:
+                    continue
+                if piece >= 0:
+                    ok = pairs.get((prev + 1) * size + piece)
+                    if not (self.passes(prev, piece) if ok is None else ok):
+                        continue
+                entered[end] = 1
+                trail.append((at, prev, ways, piece))
+                at, prev = end, piece
+                break
+        return [x for start, _, _, piece in trail for x in ([piece] if piece >= 0 else self._fallback(chunk[start]))]
+
+    def _lightest_path(self, chunk: str) -> list[int]:
+        n, inf = len(chunk), float("inf")
         cost = [0.0] + [inf] * n
         back: list[tuple[int, list[int]]] = [(0, [])] * (n + 1)
-        last = [-1] * (n + 1)  # piece that ends at a position on its path; -1 if none or bytes
-        arcs, emits, pairs, size = self.arcs, self.emits, self.pairs, len(self.names)
+        arcs, emits = self.arcs, self.emits
         for i in range(n):
-            if cost[i] == inf:
-                continue
-            state, j, prev = 0, i, last[i]
-            while j < n:
+            state = 0
+            for j in range(i, n):
                 state = arcs[state].get(chunk[j])
                 if state is None:
                     break
-                j += 1
                 piece = emits[state]
-                if piece < 0:
-                    continue
-                if self.bpe:
-                    ok = pairs.get((prev + 1) * size + piece)
-                    if ok is None:
-                        ok = self.passes(prev, piece)
-                    if not ok:
-                        continue
-                    weight = cost[i] + 1.0
-                else:
-                    weight = cost[i] - self.weights[piece]
-                if weight < cost[j]:
-                    cost[j], back[j], last[j] = weight, (i, [piece]), piece
-            if chunk[i] not in self.ids:
-                weight = cost[i] + 100.0
-                if weight < cost[i + 1]:
-                    raw = chunk[i].encode("utf-8", "surrogatepass")
-                    cost[i + 1], back[i + 1], last[i + 1] = weight, (i, [self.bytes[b] for b in raw] if self.bytes else [self.unknown]), -1
-        if cost[n] == inf:  # no path passes the pair acceptor: the merges themselves
-            return [x for s in self.merged(list(chunk)) for x in ([self.ids[s]] if s in self.ids else [self.bytes[b] for b in s.encode()])]
+                if piece >= 0 and cost[i] - self.weights[piece] < cost[j + 1]:
+                    cost[j + 1], back[j + 1] = cost[i] - self.weights[piece], (i, [piece])
+            if (MARK if chunk[i] == " " else chunk[i]) not in self.ids and cost[i] + self.unknown_weight < cost[i + 1]:
+                cost[i + 1], back[i + 1] = cost[i] + self.unknown_weight, (i, self._fallback(chunk[i]))
         out: list[list[int]] = []
         at = n
         while at:
@@ -233,8 +269,7 @@ class Transducer:
         """Ids of one text."""
         if not text:
             return np.zeros(0, dtype=self.dtype)
-        normal = self.prefix + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self._chunk, _CHUNKS.findall(normal))), dtype=self.dtype)
+        return np.frombuffer(b"".join(map(self._chunk, _CHUNKS.findall(self.prefix + text))), dtype=self.dtype)
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has. Nulls count as empty."""
@@ -244,7 +279,7 @@ class Transducer:
         plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
         ids = [np.zeros(0, dtype=self.dtype)]
         if len(plain):
-            some = pc.replace_substring(texts.take(pa.array(plain)), " ", _CUT + MARK)
+            some = pc.replace_substring(texts.take(pa.array(plain)), " ", f"{_CUT} ")
             some = pc.replace_substring(some, "\n", f"{_CUT}\n{_CUT}")
             split = pc.split_pattern(pc.binary_join_element_wise(self.prefix, some, ""), _CUT)
             encoded = split.flatten().dictionary_encode()
