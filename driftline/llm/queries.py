@@ -74,11 +74,14 @@ def captures(pages: DataFrame) -> DataFrame:
 def dated_lists(pages: DataFrame) -> DataFrame:
     """Dated list entries for the hosts of the pages, by the digits of each host's MD5.
 
-    Two lists take some hosts up on a day of the year and drop some of them later; one takes whole domains.
+    Two lists take some hosts up on a day of the year and drop some of them later; one takes whole domains, and one the
+    first directory of some hosts.
     """
-    from driftline.llm.url_filters import host
+    from driftline.llm.url_filters import host, segments
 
-    hosts = pages.select(host(F.col("url")).alias("value")).distinct().where("value != ''")
+    paths = pages.select(host(F.col("url")).alias("value"), F.get(segments(F.col("url")), F.lit(0)).alias("first")).distinct().where("value != ''")
+    paths = shared.written(paths, "hosts")
+    hosts = shared.written(paths.select("value").distinct(), "hosts")
     digit = lambda at, n=1: F.conv(F.substring(F.md5("value"), at, n), 16, 10).cast("int")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
     spam = hosts.where(digit(1) < 6)
@@ -87,7 +90,8 @@ def dated_lists(pages: DataFrame) -> DataFrame:
     out = entry(spam, "spam", "add", on).unionByName(entry(spam.where(digit(7) < 10), "spam", "remove", off)).unionByName(entry(spam.where(digit(8) < 5), "spam", "add", again))
     out = out.unionByName(entry(hosts.where(digit(9) < 3), "adult", "add", digit(10, 2)))
     parents = hosts.where(F.col("value").like("%.%.%.%")).select(F.expr("substring(value, instr(value, '.') + 1)").alias("value")).distinct()
-    return out.unionByName(entry(parents.where(digit(1) < 4), "domains", "add", digit(2, 2)))
+    below = paths.where("first IS NOT NULL").select(F.concat_ws("/", "value", "first").alias("value"))
+    return out.unionByName(entry(parents.where(digit(1) < 4), "domains", "add", digit(2, 2))).unionByName(entry(below.where(digit(1) < 5), "paths", "add", digit(2, 2)))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,18 +172,31 @@ WITH d AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))
 ), m AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-q AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+q AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id),
+bb AS (SELECT row_number() OVER () AS it, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+bt AS (SELECT it, unnest(w) AS t, generate_subscripts(w, 1) AS off FROM bb),
+dp AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+tf AS (SELECT t, count(*) AS cf FROM dp GROUP BY t),
+rk AS (SELECT it, t, off, coalesce(cf, 0) AS cf, row_number() OVER (PARTITION BY it ORDER BY coalesce(cf, 0), off) AS r FROM bt LEFT JOIN tf USING (t)),
+pr AS (SELECT * FROM rk WHERE r <= 3),
+ok AS (SELECT it, count(*) AS k FROM pr GROUP BY it HAVING min(cf) > 0),
+a AS (SELECT doc_id, it, k, p - off AS base FROM pr JOIN ok USING (it) JOIN dp USING (t) WHERE r = 1),
+mt AS (SELECT a.doc_id, a.it, a.k, a.base, count(DISTINCT pr.off) AS c
+  FROM a JOIN pr ON pr.it = a.it AND pr.r > 1 JOIN dp ON dp.doc_id = a.doc_id AND dp.t = pr.t AND abs(dp.p - (a.base + pr.off)) <= 5 GROUP BY ALL),
+nr AS (SELECT doc_id, count(DISTINCT it) AS n_near FROM (SELECT doc_id, it FROM mt WHERE c = k - 1 UNION ALL SELECT doc_id, it FROM a WHERE k = 1) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(q.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(q.ids, '')) AS items_sha256,
-       coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN q USING (doc_id)"""
+       coalesce(h.n_hit, 0) > 0 AS contaminated, coalesce(nr.n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN nr USING (doc_id)"""
 
 _OP8_SQL = """
 WITH c AS (
   SELECT page_id, DATE '2024-01-01' + CAST(((page_id * 37) % 366 + 366) % 366 AS INTEGER) AS fetched,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host FROM pages
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@]*)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^/?#]+)', 1) AS seg FROM pages
 ), hs AS (SELECT DISTINCT host AS v, md5(host) AS m FROM c WHERE host <> ''),
 ds AS (SELECT DISTINCT substr(v, instr(v, '.') + 1) AS v FROM hs WHERE v LIKE '%.%.%.%'),
+ps AS (SELECT DISTINCT host || '/' || seg AS v FROM c WHERE host <> '' AND seg <> ''),
 n AS (SELECT v, m, CAST('0x' || substr(m, 1, 1) AS INT) AS a, CAST('0x' || substr(m, 2, 2) AS INT) AS d1, CAST('0x' || substr(m, 4, 1) AS INT) AS d4,
              CAST('0x' || substr(m, 5, 2) AS INT) AS d5, CAST('0x' || substr(m, 7, 1) AS INT) AS d7, CAST('0x' || substr(m, 8, 1) AS INT) AS d8,
              CAST('0x' || substr(m, 9, 1) AS INT) AS d9, CAST('0x' || substr(m, 10, 2) AS INT) AS d10 FROM hs),
@@ -189,10 +206,11 @@ e AS (
   UNION ALL SELECT 'spam', v, 'add', d1 + 60 + d5 FROM n WHERE a < 6 AND d8 < 5
   UNION ALL SELECT 'adult', v, 'add', d10 FROM n WHERE d9 < 3
   UNION ALL SELECT 'domains', v, 'add', CAST('0x' || substr(md5(v), 2, 2) AS INT) FROM ds WHERE CAST('0x' || substr(md5(v), 1, 1) AS INT) < 4
+  UNION ALL SELECT 'paths', v, 'add', CAST('0x' || substr(md5(v), 2, 2) AS INT) FROM ps WHERE CAST('0x' || substr(md5(v), 1, 1) AS INT) < 5
 ), g AS (SELECT list_name, v, day, max(action) AS action FROM e GROUP BY ALL),
 iv AS (SELECT list_name, v, action, DATE '2024-01-01' + day AS f, lead(DATE '2024-01-01' + day) OVER (PARTITION BY list_name, v ORDER BY day) AS t FROM g),
 hit AS (
-  SELECT page_id, list_name FROM c JOIN iv ON (c.host = iv.v OR ends_with(c.host, '.' || iv.v))
+  SELECT page_id, list_name FROM c JOIN iv ON (c.host = iv.v OR ends_with(c.host, '.' || iv.v) OR c.host || '/' || c.seg = iv.v)
   WHERE iv.action = 'add' AND c.fetched >= iv.f AND (iv.t IS NULL OR c.fetched < iv.t) GROUP BY ALL
 ), l AS (SELECT page_id, count(*) AS n, string_agg(list_name, ',' ORDER BY list_name) AS lists FROM hit GROUP BY page_id)
 SELECT c.page_id, coalesce(l.n, 0) > 0 AS blocked, coalesce(l.n, 0) AS n_lists, coalesce(l.lists, '') AS lists FROM c LEFT JOIN l USING (page_id)"""

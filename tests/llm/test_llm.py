@@ -230,7 +230,7 @@ def test_transducer_equals_library():
     machine, library = sp_wfst.Transducer(blob, chunks=300), sentencepiece.SentencePieceProcessor(model_proto=blob)
     rnd = random.Random(3)
     pieces = list(machine.ids)
-    some = [t["text"] for t in texts()[:40]] + ["", " ", "  a", "a  b ", "\tx\n\ny", "é你好😀 ﬁ", "<s> a</s>", "▁x", "a\x1eb"]
+    some = [t["text"] for t in texts()[:40]] + [" ▁ a", "▁", "a▁▁ b", "", " ", "  a", "a  b ", "\tx\n\ny", "é你好😀 ﬁ", "<s> a</s>", "▁x", "a\x1eb"]
     some += ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 6))).replace("▁", " ") for _ in range(1500)]
     ids, lens = machine.encode_batch(pa.array(some))
     at = np.concatenate([[0], np.cumsum(lens)])
@@ -239,6 +239,60 @@ def test_transducer_equals_library():
         assert own.tolist() == library.encode(t) and machine.decode(own) == library.decode(own.tolist())
 
 
+def _hand_made(kind, pieces, byte_fallback):
+    """A model file with the given pieces and scores."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = kind, byte_fallback
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = True, False, True
+    for name, of in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        m.pieces.add(piece=name, score=0.0, type=of)
+    for b in range(256 if byte_fallback else 0):
+        m.pieces.add(piece=f"<0x{b:02X}>", score=0.0, type=6)
+    for piece, score in pieces.items():
+        m.pieces.add(piece=piece, score=score, type=1)
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_weights_order_paths(byte_fallback):
+    """In unigram models several paths are open and the lightest is the library's segmentation."""
+    import sentencepiece
+
+    rnd = random.Random(4)
+    for _ in range(6):
+        pieces = {c: -rnd.uniform(3, 9) for c in "abc▁"}
+        pieces |= {"".join(rnd.choice("abc") for _ in range(rnd.randint(2, 4))): -rnd.uniform(2, 14) for _ in range(12)}
+        pieces |= {"▁" + "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 3))): -rnd.uniform(2, 14) for _ in range(8)}
+        blob = _hand_made(1, pieces, byte_fallback)
+        machine, library = sp_wfst.Transducer(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
+        same = 0
+        for _ in range(200):
+            text = " ".join("".join(rnd.choice("abcabcabcé") for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(1, 4)))
+            own, want = machine.encode(text).tolist(), library.encode(text)
+            weigh = lambda ids: sum(-machine.weights[i] for i in ids)  # noqa: E731, B023
+            assert own == want or (weigh(own) == pytest.approx(weigh(want), abs=1e-4) and len(own) == len(want)), "another path of the same weight at most"
+            same += own == want
+        assert same > 180
+
+
+def test_acceptor_leaves_one_path():
+    """Among all ways to cut a chunk into BPE pieces the pair acceptor lets one through, which is what merging gives."""
+    machine = sp_wfst.Transducer(Path(tokenizer_path("piece_bpe_32k.model")).read_bytes())
+
+    def paths(chunk, at=0, prev=-1):
+        if at == len(chunk):
+            return [[]]
+        return [[i, *rest] for end in range(at + 1, len(chunk) + 1) if (i := machine.ids.get(chunk[at:end])) is not None and machine.passes(prev, i) for rest in paths(chunk, end, i)]
+
+    rnd = random.Random(6)
+    words = {w for t in texts()[:60] for w in (t["text"] or "").split() if len(w) < 12 and all(c in machine.ids for c in w)}
+    for w in rnd.sample(sorted(words), 300):
+        found = paths("▁" + w)
+        assert found == [[machine.ids[s] for s in machine.merged(list("▁" + w))]] and machine.path(" " + w) == found[0]
+
+
 def test_encode_decode_rows(spark, odd, empty):
     out = sp_wfst.encode_decode(odd, tokenizer_path("piece_bpe_32k.model"))
     rows = out.collect()
@@ -410,6 +464,22 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), found
 
 
+def brute_near(docs, items, slop=5, probe=3):
+    """Items of which the rarest words stand near their places, by document."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    cf = Counter(w for _, t in docs for w in words(t))
+    out = []
+    for _, t in docs:
+        w, n = words(t), 0
+        for _, b in set(items):
+            rare = sorted(((cf[x], off, x) for off, x in enumerate(words(b))))[:probe]
+            if rare and rare[0][0]:
+                starts = [i - rare[0][1] for i, x in enumerate(w) if x == rare[0][2]]
+                n += any(all(x in w[max(0, s + off - slop) : max(0, s + off + slop + 1)] for _, off, x in rare) for s in starts)
+        out.append(n)
+    return out
+
+
 def test_contamination_brute_force(spark, odd, empty):
     rnd = random.Random(2)
     vocab = ["a", "B", "c", "É", "é", "d9"]
@@ -418,10 +488,10 @@ def test_contamination_brute_force(spark, odd, empty):
     docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(docs_df, items_df).collect()
     want = []
-    for i, t in docs:
+    for (i, t), near in zip(docs, brute_near(docs, items), strict=True):
         n, hit, found = brute_hits(t, items)
         ids = sorted(str(x) for x in found if x is not None)
-        want.append((i, n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
+        want.append((i, n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0, near))
     assert sorted(map(tuple, got)) == sorted(want)
     assert decontaminate.contamination(odd, items_df).count() == odd.count()
     assert decontaminate.contamination(empty, items_df).count() == 0
@@ -433,10 +503,21 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red old fox jumps"), (2, "red fox old jumps"), (3, "fox red far away old jumps"), (4, "red old")], "doc_id long, text string")
     phrase = decontaminate.item_words(spark.createDataFrame([(9, "red old fox")], "item_id long, text string"))
     index = decontaminate.build_index(docs, phrase)
+    phrase = decontaminate._with_frequencies(phrase, index)
     near = lambda k: sorted({r.doc_id for r in decontaminate.proximity_matches(index, phrase, k).collect()})
     assert near(0) == [1] and near(2) == [1, 2] and near(6) == [1, 2, 3]
 
 
+def test_a_phrase_repeated_in_one_document(spark):
+    phrase = "the quick brown fox jumps over a very lazy dog today"
+    docs = [(1, " ".join([phrase] * 10_000)), (2, phrase), (3, "quick " * 5000 + phrase[:30])] + [(4, phrase + " x " + phrase)] * 300
+    items = [("a", phrase), ("b", "quick quick"), ("c", " ".join([phrase] * 3))]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    by = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.n_near) for r in got}
+    assert len(got) == len(docs) and {i: x[:3] for i, x in by.items()} == {1: (110_000, 110_000, 2), 2: (11, 11, 2), 3: (5006, 5000, 1), 4: (23, 22, 2)}
+    assert [by[i][3] for i in (1, 2, 3, 4)] == brute_near(docs, items)[:4]
+
+
 # --- url filters ---
 
 
@@ -447,6 +528,10 @@ def test_intervals_and_asof(spark):
     captures = spark.createDataFrame([(*r, "z") for r in c], "page_id int, url string, fetched string, value string").withColumn("fetched", F.col("fetched").cast("date"))
     got = sorted((r.page_id, r.lists) for r in url_filters.evaluate(captures, entries).collect())
     assert got == [(1, ""), (2, "l"), (3, ""), (4, "l"), (5, ""), (6, "m"), (6, "m"), (7, ""), (8, ""), (9, "")]
+    paths = spark.createDataFrame([("p", "X.org/Ads/", "add", "2024-01-01"), ("p", "x.org/Ads", "remove", "2024-03-01"), ("q", "[::1]", "add", "2020-01-01"), ("q", "x.org/a/b", "add", "2024-02-20")], "list_name string, value string, action string, day string").withColumn("day", F.col("day").cast("date"))
+    c = [(1, "http://x.org/Ads", "2024-02-29"), (2, "http://x.org/Ads/1?x", "2024-01-01"), (3, "http://x.org/Ads", "2024-03-01"), (4, "http://x.org/Adsense", "2024-02-01"), (5, "http://a.x.org/Ads", "2024-02-01"), (6, "http://[::1]:80/x", "2025-07-01"), (7, "http://x.org//a/b/c#d", "2024-03-01"), (8, "http://x.org/a", "2024-03-01"), (9, "http://x.org/" + "a/" * 50_000, "2024-03-01"), (10, "http://" + "a." * 300 + "x.org/Ads/", "2024-02-01"), (11, "http://x.org/Ads", "2023-12-31")]
+    got = sorted((r.page_id, r.lists) for r in url_filters.evaluate(spark.createDataFrame(c, "page_id int, url string, fetched string").withColumn("fetched", F.col("fetched").cast("date")), paths).collect())
+    assert got == [(1, "p"), (2, "p"), (3, ""), (4, ""), (5, ""), (6, "q"), (7, "q"), (8, ""), (9, ""), (10, ""), (11, "")]
     assert url_filters.evaluate(captures, entries.where("false")).where("blocked").count() == 0
     assert url_filters.evaluate(captures.where("false"), entries).count() == 0
 
