@@ -185,3 +185,9 @@ def json_number(c: Column, key: str) -> Column:
 
 def map_get(m: Column, key: Column, default: float) -> Column:
     return F.coalesce(F.try_element_at(m, key), F.lit(default))
+
+
+def now_utc() -> Column:
+    """The time of the query as ISO text in UTC, to the second."""
+    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -265,6 +265,46 @@ def viterbi(steps: list[tuple[float, float]], candidates: list[list[tuple[int, f
     return [candidates[i][k][0] for i, k in enumerate(reversed(path))]
 
 
+def _padded(pdf: pd.DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Steps of rows sorted by seq: their seq, their first rows, each column as (steps, candidates), and which are there."""
+    seq, first, of = np.unique(pdf["seq"].to_numpy(), return_index=True, return_inverse=True)
+    rank = np.arange(len(pdf)) - first[of]
+    there = np.zeros((len(seq), int(rank.max(initial=0)) + 1), dtype=bool)
+    there[of, rank] = True
+    out = []
+    for c in cols:
+        x = np.zeros(there.shape, dtype=pdf[c].dtype)
+        x[of, rank] = pdf[c].to_numpy()
+        out.append(x)
+    return seq, first, out, there
+
+
+def committed(steps: np.ndarray, dist: np.ndarray, mid: np.ndarray, there: np.ndarray, window: int, sigma: float = 5.0, beta: float = 10.0, detour: float = 1.4, at_once: int = 4096) -> np.ndarray:
+    """For each window of steps the candidate of its first step on the window's likeliest path, as viterbi() finds it.
+
+    All windows go forward together, one step of theirs at a time. A candidate carries along where its path began, so there
+    is nothing to trace back.
+    """
+    emission = np.where(there, -0.5 * (dist / sigma) ** 2, -np.inf)
+    out = []
+    for a in range(0, max(1, len(steps) - window + 1), at_once):
+        b = min(a + at_once, max(1, len(steps) - window + 1))
+        last = min(b + window - 1, len(steps))
+        moved = np.maximum(np.hypot(*(steps[a + 1 : last] - steps[a : last - 1]).T), 0.1)
+        apart = mid[a : last - 1, :, None, :] - mid[a + 1 : last, None, :, :]
+        along = detour * np.hypot(apart[..., 0], apart[..., 1])
+        cost = np.maximum(along - moved[:, None, None], 0) / beta
+        score = emission[a:b].copy()
+        began = np.broadcast_to(np.arange(dist.shape[1]), score.shape).copy()
+        for k in range(1, min(window, len(steps))):
+            total = score[:, :, None] - cost[k - 1 : k - 1 + b - a]
+            best = total.argmax(axis=1)
+            score = np.take_along_axis(total, best[:, None, :], axis=1)[:, 0] + emission[a + k : b + k]
+            began = np.take_along_axis(began, best, axis=1)
+        out.append(began[np.arange(b - a), score.argmax(axis=1)])
+    return np.concatenate(out)
+
+
 def map_match(matched: DataFrame, by: str, window: int = 15) -> DataFrame:
     """Decodes candidates (by, seq, n, e, seg_id, dist, mid_n, mid_e) with a sliding window that commits its first step.
 
@@ -273,52 +313,112 @@ def map_match(matched: DataFrame, by: str, window: int = 15) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps, cands, seqs = [], [], []
-        for seq, g in pdf.sort_values(["seq", "dist", "seg_id"], kind="stable").groupby("seq", sort=True):
-            seqs.append(seq)
-            steps.append((g["n"].iloc[0], g["e"].iloc[0]))
-            cands.append(list(zip(g["seg_id"], g["dist"], g["mid_n"], g["mid_e"], strict=True)))
-        out, last = [], max(0, len(seqs) - window)
-        for i in range(last + 1):
-            path = viterbi(steps[i : i + window], cands[i : i + window])
-            out += [(pdf[by].iloc[0], seqs[i + k], path[k]) for k in range(len(path) if i == last else 1)]
-        return pd.DataFrame(out, columns=[by, "seq", "seg_id"])
+        pdf = pdf.sort_values(["seq", "dist", "seg_id"], kind="stable").reset_index(drop=True)
+        seq, first, (seg, dist, mid_n, mid_e), there = _padded(pdf, ["seg_id", "dist", "mid_n", "mid_e"])
+        steps, mid = pdf[["n", "e"]].to_numpy(dtype=float)[first], np.stack([mid_n, mid_e], axis=-1)
+        chosen = committed(steps, dist, mid, there, window)
+        last = len(chosen) - 1
+        cands = [[(int(seg[i, j]), dist[i, j], mid_n[i, j], mid_e[i, j]) for j in range(int(there[i].sum()))] for i in range(last, len(seq))]
+        ids = np.concatenate([seg[np.arange(last), chosen[:last]], viterbi([tuple(x) for x in steps[last:]], cands)])
+        return pd.DataFrame({by: pdf[by].iloc[0], "seq": seq, "seg_id": ids.astype(np.int64)})
 
     return matched.groupBy(by).applyInPandas(run, f"{by} {matched.schema[by].dataType.simpleString()}, seq long, seg_id long")
 
 
+def score_match(candidates: DataFrame, by: str, penalty: float = 10.0) -> DataFrame:
+    """The best candidate of each step by score plus `penalty` where it shares no node with the step before's match.
+
+    candidates: by, seq, seg_id, u, v (nodes), score; a row with a null seg_id is a step without candidates, which has no
+    match and after which nothing is continuous. Ties go to the smaller seg_id. by, seq, seg_id, score, continuous.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seq", "seg_id"], kind="stable").reset_index(drop=True)
+        seq, first = np.unique(pdf["seq"].to_numpy(), return_index=True)
+        known = pdf["seg_id"].notna().to_numpy()
+        u, v, score = pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["score"].to_numpy(dtype=float)
+        rows, total, joined, last = [], [], [], None
+        for a, b in zip(first, [*first[1:], len(pdf)], strict=True):
+            if not known[a]:
+                last = None
+                rows.append(a), total.append(np.nan), joined.append(False)
+                continue
+            near = np.zeros(b - a, dtype=bool) if last is None else (u[a:b] == v[last]) | (v[a:b] == u[last]) | (u[a:b] == u[last]) | (v[a:b] == v[last])
+            full = score[a:b] if last is None else score[a:b] + np.where(near, 0.0, penalty)
+            best = int(np.argmin(np.round(full, 9)))
+            last = a + best
+            rows.append(last), total.append(full[best]), joined.append(bool(near[best]))
+        picked = pdf["seg_id"].to_numpy()[rows]
+        return pd.DataFrame({by: pdf[by].iloc[0], "seq": seq, "seg_id": pd.array([None if x != x else int(x) for x in picked], dtype="Int64"), "score": total, "continuous": joined})
+
+    kind = candidates.schema[by].dataType.simpleString()
+    out = candidates.groupBy(by).applyInPandas(run, f"{by} {kind}, seq long, seg_id long, score double, continuous boolean")
+    return out.withColumn("score", F.when(F.col("seg_id").isNotNull(), F.col("score")))
+
+
 def chain(segments: DataFrame, by: str, reach: float = 5.0) -> DataFrame:
-    """Greedy polylines: from the first segment, append the nearest unused segment that begins within reach of the end."""
+    """Greedy polylines: from the first segment, append the nearest unused segment that begins within reach of the end.
+
+    Segments wait in grid cells as wide as the reach, so a step looks at nine cells and not at all segments.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg_id", kind="stable")
-        left = {r.seg_id: r for r in pdf.itertuples(index=False)}
-        r, out, pos = left.pop(pdf["seg_id"].iloc[0]), [], 0
-        while r is not None:
-            out.append((pdf[by].iloc[0], pos, r.seg_id))
-            pos += 1
-            near = [(hypot(x.p1n - r.p2n, x.p1e - r.p2e), x.seg_id) for x in left.values()]
-            best = min(near, default=(reach + 1, 0))
-            r = left.pop(best[1]) if best[0] <= reach else None
+        cell = lambda n, e: (int(n // reach), int(e // reach))
+        left: dict[tuple[int, int], list] = {}
+        for r in pdf.itertuples(index=False):
+            left.setdefault(cell(r.p1n, r.p1e), []).append(r)
+        at = next(pdf.itertuples(index=False))
+        out = []
+        while at is not None:
+            left[cell(at.p1n, at.p1e)].remove(at)
+            out.append((pdf[by].iloc[0], len(out), at.seg_id))
+            i, j = cell(at.p2n, at.p2e)
+            near = [(hypot(x.p1n - at.p2n, x.p1e - at.p2e), x.seg_id, x) for k in range(i - 1, i + 2) for m in range(j - 1, j + 2) for x in left.get((k, m), ())]
+            best = min(near, default=(reach + 1, 0, None), key=lambda x: x[:2])
+            at = best[2] if best[0] <= reach else None
         return pd.DataFrame(out, columns=[by, "pos", "seg_id"])
 
     return segments.groupBy(by).applyInPandas(run, f"{by} {segments.schema[by].dataType.simpleString()}, pos long, seg_id long")
 
 
-def welch(df: DataFrame, by: str, order: str, x: str, rate: float, size: int = 32) -> DataFrame:
-    """Power spectral density: mean over half-overlapping Hann windows without their means."""
+def _psd(v: np.ndarray, rate: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    w = 0.5 - 0.5 * np.cos(2 * pi * np.arange(size) / size)
+    parts = np.stack([v[i : i + size] for i in range(0, len(v) - size + 1, max(1, size // 2))])
+    spec = np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2 / (rate * (w * w).sum())
+    spec[:, 1 : -1 if size % 2 == 0 else None] *= 2
+    return np.fft.rfftfreq(size, 1 / rate), spec.mean(axis=0)
+
+
+def welch(df: DataFrame, by: str | list[str], order: str, x: str, rate: float, size: int = 32, least: int | None = None) -> DataFrame:
+    """Power spectral density: mean over half-overlapping Hann windows without their means.
+
+    Groups with fewer than `least` samples (`size`, if it isn't given) have none; a shorter group's window is its length.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    least = size if least is None else least
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(order, kind="stable")[x].to_numpy(dtype=float)
-        if len(v) < size:
-            return pd.DataFrame({by: [], "freq": [], "psd": []})
-        w = 0.5 - 0.5 * np.cos(2 * pi * np.arange(size) / size)
-        parts = np.stack([v[i : i + size] for i in range(0, len(v) - size + 1, size // 2)])
-        spec = np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2 / (rate * (w * w).sum())
-        spec[:, 1 : -1 if size % 2 == 0 else None] *= 2
-        return pd.DataFrame({by: pdf[by].iloc[0], "freq": np.fft.rfftfreq(size, 1 / rate), "psd": spec.mean(axis=0)})
-
-    return df.groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, freq double, psd double")
+        if len(v) < max(2, least):
+            return pd.DataFrame(columns=[*keys, "freq", "psd"])
+        freq, psd = _psd(v, rate, min(size, len(v)))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "freq": freq, "psd": psd})
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, freq double, psd double")
+
+
+#: Speed regimes of spectra, in m/s: names and lower bounds (fixed values of the report).
+REGIMES = {"Stationary": float("-inf"), "0-5 m/s": 0.1, "5-10 m/s": 5.0, "10-15 m/s": 10.0, "15-20 m/s": 15.0, "> 20 m/s": 20.0}
+
+
+def welch_by_regime(df: DataFrame, by: str, order: str, x: str, speed: str, rate: float = 10.0, size: int = 256, least: int = 100) -> DataFrame:
+    """by, regime, freq, psd: spectra of the samples of each speed regime, put one after the other."""
+    label = F.lit(None).cast("string")
+    for name, low in reversed(REGIMES.items()):
+        label = F.coalesce(label, F.when(F.col(speed) >= low, F.lit(name)))
+    return welch(df.where(F.col(speed).isNotNull()).withColumn("regime", label), [by, "regime"], order, x, rate, size, least)
 
 
 @udtf(returnType="start_s double, end_s double")

@@ -1,11 +1,13 @@
 """Joins by time, interval and place, as compositions of equi-joins, unions and windows.
 
 None of them compares all pairs: as-of and interpolating joins are one sort of the union by session; interval and radius
-joins go over buckets, so that every row meets only what is near it.
+joins and lag searches go over buckets, so that every row meets only what is near it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,16 +116,63 @@ def nearest_beyond(points: DataFrame, segments: DataFrame, radius: float, keys:
     return out
 
 
+#: Up to so many lags are summed one by one; beyond it by fast Fourier transforms.
+FEW_LAGS = 64
+
+
+def _lag_sums(x: np.ndarray, y: np.ndarray, max_lag: int) -> np.ndarray:
+    """(6, 2 * max_lag + 1): for each lag the pairs, sum x, sum y, sum x^2, sum y^2, sum x * y.
+
+    x and y are (3, ticks) arrays of count, sum and sum of squares of the samples at each tick; y begins max_lag ticks
+    before x and ends as many after, so that y's tick of a lag l is x's less l.
+    """
+    n = x.shape[1]
+    pairs = [(0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1)]
+    if 2 * max_lag + 1 <= FEW_LAGS:
+        return np.array([[x[i] @ y[j, max_lag - lag : max_lag - lag + n] for lag in range(-max_lag, max_lag + 1)] for i, j in pairs])
+    size = 1 << (n + 2 * max_lag).bit_length()
+    fx, fy = np.conj(np.fft.rfft(x, size)), np.fft.rfft(y, size)
+    out = np.stack([np.fft.irfft(fx[i] * fy[j], size)[2 * max_lag :: -1] for i, j in pairs])
+    out[0] = np.round(out[0])
+    return out
+
+
 def lag_table(a: DataFrame, b: DataFrame, by: list[str], tick: str, x: str, y: str, max_lag: int, min_overlap: int = 3, zero: bool = False) -> DataFrame:
     """by, lag, r, n: correlation of a's x at tick i with b's y at tick i - lag, for every lag up to `max_lag`.
 
-    The lags are exploded on one side, so the join stays an equi-join on the tick; lag 0 is left out unless asked for.
+    Ticks are dealt into blocks at least four times as wide as the lags reach; a row of a goes to its block and a row of b
+    to the one or two blocks that can meet it, so no row is copied once for each lag, and a long session is many tasks.
+    A block's sums for all lags add up to the session's. Lag 0 is left out unless asked for.
     """
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))
-    s = b.select(*by, F.col(tick).alias("__j"), F.col(y).alias("__y")).withColumn("lag", lags).withColumn(tick, F.col("__j") + F.col("lag"))
-    s = s if zero else s.where("lag <> 0")
-    g = a.join(s, [*by, tick]).groupBy(*by, "lag").agg(F.corr(x, "__y").alias("r"), F.count("*").alias("n"), F.sum(F.col(x) * F.col("__y")).alias("dot"))
-    return g.where(F.col("n") >= min_overlap)
+    width = max(4 * max_lag, 1024)
+    block = lambda c: F.floor(c / width).cast("long")
+    left = a.where(F.col(x).isNotNull()).select(*by, F.col(tick).cast("long").alias("__i"), F.col(x).cast("double").alias("__x")).withColumn("__b", block(F.col("__i")))
+    reach = F.array_distinct(F.array(block(F.col("__i") - max_lag), block(F.col("__i") + max_lag)))
+    right = b.where(F.col(y).isNotNull()).select(*by, F.col(tick).cast("long").alias("__i"), F.col(y).cast("double").alias("__x")).withColumn("__b", F.explode(reach))
+    schema = ", ".join([*(f"`{c}` {a.schema[c].dataType.simpleString()}" for c in by), "lag int, __n double, __sx double, __sy double, __sxx double, __syy double, __sxy double"])
+
+    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame(columns=[*by, "lag", "__n", "__sx", "__sy", "__sxx", "__syy", "__sxy"])
+        start = int(p["__b"].iloc[0]) * width
+
+        def laid(d: pd.DataFrame, origin: int, n: int) -> np.ndarray:
+            at, v = d["__i"].to_numpy() - origin, d["__x"].to_numpy()
+            inside = (at >= 0) & (at < n)
+            return np.stack([np.bincount(at[inside], weights=w, minlength=n) for w in (np.ones(int(inside.sum())), v[inside], v[inside] ** 2)])
+
+        sums = _lag_sums(laid(p, start, width), laid(q, start - max_lag, width + 2 * max_lag), max_lag)
+        out = pd.DataFrame({"lag": np.arange(-max_lag, max_lag + 1, dtype=np.int32), **dict(zip(["__n", "__sx", "__sy", "__sxx", "__syy", "__sxy"], sums, strict=True))})
+        for c in reversed(by):
+            out.insert(0, c, p[c].iloc[0])
+        return out[out["__n"] > 0]
+
+    parts = left.groupBy(*by, "__b").cogroup(right.groupBy(*by, "__b")).applyInPandas(run, schema)
+    g = parts.groupBy(*by, "lag").agg(*(F.sum(f"__{c}").alias(f"__{c}") for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    n, sx, sy = F.col("__n"), F.col("__sx"), F.col("__sy")
+    spread = (n * F.col("__sxx") - sx * sx) * (n * F.col("__syy") - sy * sy)
+    g = g.select(*by, "lag", F.when(spread > 0, (n * F.col("__sxy") - sx * sy) / F.sqrt(spread)).alias("r"), n.cast("long").alias("n"), F.col("__sxy").alias("dot"))
+    return g.where((F.col("n") >= min_overlap) & (F.lit(zero) | (F.col("lag") != 0)))
 
 
 def best_lag(lags: DataFrame, by: list[str], score: Column, places: int = 9) -> DataFrame:

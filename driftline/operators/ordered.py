@@ -5,9 +5,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -132,31 +133,64 @@ def resample(df: DataFrame, cols: Names, by: Names, t: str, rate: float, origin:
     return g.select(*by, F.col("tick").cast("long").alias("tick"), F.col("__g").alias(t), *((F.col(c) + F.coalesce(F.col(f"__{c}") - F.col(c), F.lit(0.0)) * a).alias(c) for c in cols))
 
 
-def scan(df: DataFrame, by: Names, order: Names, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A kernel over each session's rows in order, for scans that need the result before; linear in the session.
+def scan(df: DataFrame, by: Names, order: Names, cols: list[str], step: Callable[[], Callable], out: str) -> DataFrame:
+    """A kernel over ordered rows, for scans that need the result before: adds the columns of `out` to `cols`.
 
-    Sessions run in parallel, one in a task. Windows are cheaper wherever they can express the scan.
+    Rows come in batches, sorted by session and order, so a task holds one batch however long a session is; many short
+    sessions share a batch. step() makes a task's kernel, which keeps its state from batch to batch: it gets a mask of rows
+    that begin a session and the columns as arrays, and gives a mask of the rows to keep (None: all) and the new columns.
+    Windows are cheaper wherever they can express the scan.
     """
-    keys = _list(order)
-    return df.groupBy(*_list(by)).applyInPandas(lambda pdf: kernel(pdf.sort_values(keys, kind="stable")), schema)
+    rows = df.select(*dict.fromkeys([*_list(by), *_list(order), *cols]), (F.row_number().over(over(by, order)) == 1).alias("__first"))
+    names = rows.columns[:-1]
+    kept = [rows.schema[c] for c in names]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *([out] if out else [])])
+    added = [part.split()[0].strip("`") for part in out.split(",") if part]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = step()
+        for batch in batches:
+            if batch.num_rows:
+                values = {c: batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in cols}
+                mask, new = kernel(batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool), values)
+                same = batch.select(names) if mask is None else batch.select(names).filter(pa.array(mask))
+                yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(x) for x in new)], names=[*names, *added])
 
-def _kinds(df: DataFrame, cols: list[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in dict.fromkeys(cols))
+    return rows.mapInArrow(run, schema)
+
+
+def affine_scan(m: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, state: float) -> np.ndarray:
+    """States of x -> min(high, max(low, m * x + c)) applied row after row to `state`; m is never negative.
+
+    Such functions are closed under composition, so all prefixes come from log n vector steps.
+    """
+    m, c, low, high = (np.array(x, dtype=float) for x in (m, c, low, high))
+    shift = 1
+    while shift < len(m):
+        # This row's function after the one `shift` rows before; the first `shift` rows are complete.
+        m1, c1, l1, h1, m2, c2, l2, h2 = m[:-shift], c[:-shift], low[:-shift], high[:-shift], m[shift:], c[shift:], low[shift:], high[shift:]
+        through = lambda x: np.minimum(h2, np.maximum(l2, np.where(m2 == 0, 0.0, m2 * np.where(m2 == 0, 0.0, x)) + c2))  # noqa: B023, E731
+        m, c, low, high = (np.concatenate([old[:shift], new]) for old, new in ((m, m1 * m2), (c, m2 * c1 + c2), (low, through(l1)), (high, through(h1))))
+        shift *= 2
+    return np.minimum(high, np.maximum(low, m * state + c))
 
 
 def ema(df: DataFrame, col: str, by: Names, order: Names, alpha: float = 0.05, out: str = "ema") -> DataFrame:
     """Recursive mean: g = alpha * x + (1 - alpha) * g before, starting at the first sample."""
-    cols = list(dict.fromkeys([*_list(by), *_list(order), col]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, got = None, []
-        for x in pdf[col].tolist():
-            g = x if g is None else alpha * x + (1 - alpha) * g
-            got.append(g)
-        return pdf[cols].assign(**{out: got})
+    def step() -> Callable:
+        state = 0.0
+
+        def kernel(first: np.ndarray, values: dict) -> tuple:
+            nonlocal state
+            x, none = values[col].astype(float), np.full(len(first), np.inf)
+            got = affine_scan(np.where(first, 0.0, 1 - alpha), np.where(first, x, alpha * x), -none, none, state)
+            state = float(got[-1])
+            return None, [got]
 
-    return scan(df.select(cols), by, order, run, f"{_kinds(df, cols)}, `{out}` double")
+        return kernel
+
+    return scan(df, by, order, [col], step, f"`{out}` double")
 
 
 def ewm_last(df: DataFrame, col: str, by: Names, order: Names, span: int = 20, out: str = "ewm") -> DataFrame:
@@ -166,54 +200,94 @@ def ewm_last(df: DataFrame, col: str, by: Names, order: Names, span: int = 20, o
     return df.withColumn("__w", weight).groupBy(*_list(by)).agg((F.sum(F.col("__w") * F.col(col)) / F.sum("__w")).alias(out))
 
 
+def _hops(first: np.ndarray, t: np.ndarray, span: float, start: float | None) -> tuple[np.ndarray, float]:
+    """Rows that are the first of a session or at least `span` after the one hopped to before, and the last one's time.
+
+    `start` is the time of the last hop of the session that goes on from the batch before. A step costs a search, so the
+    work goes by hops and sessions, not by rows.
+    """
+    mask = np.zeros(len(t), dtype=bool)
+    bounds = [*([] if first[0] else [0]), *np.flatnonzero(first).tolist(), len(t)]
+    at = start
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        own = t[a:b]
+        if first[a]:
+            mask[a], at, i = True, own[0], 1
+        else:
+            i = 0
+        rising = bool((np.diff(own) >= 0).all())
+        while i < len(own):
+            late = np.searchsorted(own[i:] - at, span, side="left") if rising else int(np.argmax(own[i:] - at >= span)) if (own[i:] - at >= span).any() else len(own) - i
+            i += int(late)
+            if i < len(own):
+                mask[a + i], at = True, own[i]
+                i += 1
+    return mask, float(at)
+
+
 def min_spacing(df: DataFrame, t: str, by: Names, order: Names, spacing: float) -> DataFrame:
     """Rows at least `spacing` after the last row kept; the first row stays. by, order columns and t."""
-    cols = list(dict.fromkeys([*_list(by), *_list(order), t]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        for x in pdf[t].tolist():
-            keep.append(last is None or x - last >= spacing)
-            last = x if keep[-1] else last
-        return pdf.loc[keep, cols]
+    def step() -> Callable:
+        last = None
 
-    return scan(df.select(cols), by, order, run, _kinds(df, cols))
+        def kernel(first: np.ndarray, values: dict) -> tuple:
+            nonlocal last
+            mask, last = _hops(first, values[t].astype(float), spacing, last)
+            return mask, []
+
+        return kernel
+
+    return scan(df, by, order, [t], step, "")
 
 
 def block_average(df: DataFrame, col: str, t: str, by: Names, order: Names, span: float = 0.1) -> DataFrame:
-    """Means of blocks: one ends at the first sample at least `span` after its start; the next starts at that time."""
+    """Means of blocks: one ends at the first sample at least `span` after its start; the next starts at that time.
+
+    Which block a sample is in comes from a scan; means are sums by session and block. A block that doesn't end is left out.
+    """
     keys = _list(by)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, total, n, got = None, 0.0, 0, []
-        for at, x in zip(pdf[t].tolist(), pdf[col].tolist(), strict=True):
-            start = at if start is None else start
-            total, n = total + x, n + 1
-            if at - start >= span:
-                got.append((len(got), at, total / n))
-                start, total, n = at, 0.0, 0
-        out = pd.DataFrame(got, columns=["block", "t", "mean"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def step() -> Callable:
+        last, before = None, 0
+
+        def kernel(first: np.ndarray, values: dict) -> tuple:
+            nonlocal last, before
+            mask, last = _hops(first, values[t].astype(float), span, last)
+            ends = mask & ~first
+            so_far = np.cumsum(ends)
+            began = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+            block = so_far - ends - np.where(began >= 0, so_far[began], -before)
+            before = int(block[-1] + ends[-1])
+            return None, [block, ends]
 
-    return scan(df, by, order, run, f"{_kinds(df, keys)}, block long, t double, mean double")
+        return kernel
+
+    rows = scan(df, by, order, list(dict.fromkeys([t, col])), step, "block long, __ends boolean")
+    blocks = rows.groupBy(*keys, "block").agg(F.max(F.when(F.col("__ends"), F.col(t))).alias("t"), F.avg(col).alias("mean"))
+    return blocks.where("t IS NOT NULL")
 
 
 def integrate_reseed(df: DataFrame, t: str, accel: str, speed: str, by: Names, order: Names, low: float = 0.0, high: float = 70.0, leak: float = 0.0, out: str = "speed_est") -> DataFrame:
     """Speed from acceleration, set to the fix where there is one and kept within [low, high]; starts at zero."""
-    cols = list(dict.fromkeys([*_list(by), *_list(order)]))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, v, got = None, 0.0, []
-        for at, a, fix in zip(pdf[t].tolist(), pdf[accel].tolist(), pdf[speed].tolist(), strict=True):
-            dt = 0.0 if last is None else at - last
-            last = at
-            v = fix if fix is not None and fix == fix else max(low, min(high, (v + a * dt) * (1.0 - leak * dt)))
-            got.append(v)
-        return pdf[cols].assign(**{out: got})
-
-    return scan(df, by, order, run, f"{_kinds(df, cols)}, `{out}` double")
+
+    def step() -> Callable:
+        state, last = 0.0, 0.0
+
+        def kernel(first: np.ndarray, values: dict) -> tuple:
+            nonlocal state, last
+            at = values[t].astype(float)
+            dt = np.where(first, 0.0, np.diff(at, prepend=last))
+            fix = values[speed].astype(float)
+            fixed, keep = ~np.isnan(fix), np.maximum(0.0, 1.0 - leak * dt)
+            none = np.full(len(at), np.inf)
+            got = affine_scan(np.where(fixed | first, 0.0, keep), np.where(fixed, fix, values[accel].astype(float) * dt * keep), np.where(fixed, -none, low), np.where(fixed, none, high), state)
+            state, last = float(got[-1]), float(at[-1])
+            return None, [got]
+
+        return kernel
+
+    return scan(df, by, order, list(dict.fromkeys([t, accel, speed])), step, f"`{out}` double").drop(*(c for c in (accel, speed, t) if c not in [*_list(by), *_list(order)]))
 
 
 def dead_reckoning(df: DataFrame, by: Names, order: Names, t: str = "t", ax: str = "ax", ay: str = "ay", yaw: str = "gyro_yaw", start: tuple[float, float, float, float, float] = (0, 0, 0, 0, 0)) -> DataFrame:

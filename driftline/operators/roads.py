@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import project_clamped
@@ -10,8 +10,10 @@ from driftline.operators.ordered import gradient, over, running, unwrap
 
 
 def segments(vertices: DataFrame, by: list[str], order: str, least: float = 0.1) -> DataFrame:
-    """Consecutive vertices as segments longer than `least`: seg_id, ends, length, heading."""
-    w = over(by, order) if by else Window.orderBy(order)
+    """Consecutive vertices of each road (`by` names it) as segments longer than `least`: seg_id, ends, length, heading."""
+    if not by:
+        raise ValueError("name the columns that tell roads apart: without them all vertices would be one task's")
+    w = over(by, order)
     s = vertices.select(*by, F.col(order).alias("seg_id"), F.col("n").alias("p1n"), F.col("e").alias("p1e"), F.lead("n").over(w).alias("p2n"), F.lead("e").over(w).alias("p2e"))
     dn, de = F.col("p2n") - F.col("p1n"), F.col("p2e") - F.col("p1e")
     return s.withColumn("length", F.sqrt(dn * dn + de * de)).withColumn("heading", F.atan2(de, dn)).where(F.col("length") > least)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def hash_split(sessions: DataFrame, id_col: str = "session_id", seed: int = 0, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """Adds split: sessions in the order of an MD5 of id and seed, cut at rounded counts.
 
-    Positions come from the sessions table alone (one row a session, not a sample), ranked by a hash prefix first so
+    Positions come from the sessions table alone (one row a session, not a sample), ranked within 65536 hash prefixes so
     that no single task sorts all of them.
     """
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
-    x = sessions.withColumn("__h", h).withColumn("__p", F.substring(h, 1, 2))
-    sizes = x.groupBy("__p").agg(F.count("*").alias("__c"))  # at most 256 rows
+    x = sessions.withColumn("__h", h).withColumn("__p", F.substring(h, 1, 4))
+    sizes = x.groupBy("__p").agg(F.count("*").alias("__c"))  # at most 65536 rows
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).withColumn("__total", F.sum("__c").over(Window.partitionBy(F.lit(0))))
     x = x.join(F.broadcast(sizes.drop("__c")), "__p")

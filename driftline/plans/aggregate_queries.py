@@ -91,42 +91,42 @@ def _errors(spark, d):
     return tracks(spark, d).withColumn("err", F.hypot(F.col("pn") - F.col("tn"), F.col("pe") - F.col("te"))).withColumn("ds", F.coalesce(F.hypot(O.diff(F.col("tn"), w), O.diff(F.col("te"), w)), F.lit(0.0)))
 
 
-@query("agg_drift", TRACK_SQL + _ERR + " SELECT round(max_by(err, seq), 3) + 0.0 AS end_error, round(max(err), 3) + 0.0 AS max_error, round(sqrt(avg(err * err)), 3) + 0.0 AS rms_error, round(sum(ds), 3) + 0.0 AS distance, round(max_by(err, seq) / nullif(sum(ds), 0) * 100, 3) + 0.0 AS drift_pct FROM er WHERE t >= 40 AND t < 100")
+@query("agg_drift", TRACK_SQL + _ERR + " SELECT route_id, round(max_by(err, seq), 3) + 0.0 AS end_error, round(max(err), 3) + 0.0 AS max_error, round(sqrt(avg(err * err)), 3) + 0.0 AS rms_error, round(sum(ds), 3) + 0.0 AS distance, round(max_by(err, seq) / nullif(sum(ds), 0) * 100, 3) + 0.0 AS drift_pct FROM er WHERE t >= 40 AND t < 100 GROUP BY route_id")
 def agg_drift(spark, d):
-    """Drift of dead reckoning over the blackout [40, 100) of a drive."""
+    """Drift of dead reckoning over the blackout [40, 100) of each drive."""
     e = _errors(spark, d).where("t >= 40 AND t < 100")
-    return _rounded(e.agg(*A.drift(F.col("err"), F.col("seq"), F.col("ds"))), [], 3)
+    return _rounded(e.groupBy("route_id").agg(*A.drift(F.col("err"), F.col("seq"), F.col("ds"))), ["route_id"], 3)
 
 
-@query("agg_trajectory_rmse", TRACK_SQL + " SELECT round(sqrt(avg((pn - tn) * (pn - tn) + (pe - te) * (pe - te))), 3) + 0.0 AS rmse, round(sqrt(avg(power((pn - tn) * cos(psi) + (pe - te) * sin(psi), 2))), 3) + 0.0 AS along, round(sqrt(avg(power(-(pn - tn) * sin(psi) + (pe - te) * cos(psi), 2))), 3) + 0.0 AS cross_track FROM tr")
+@query("agg_trajectory_rmse", TRACK_SQL + " SELECT route_id, round(sqrt(avg((pn - tn) * (pn - tn) + (pe - te) * (pe - te))), 3) + 0.0 AS rmse, round(sqrt(avg(power((pn - tn) * cos(psi) + (pe - te) * sin(psi), 2))), 3) + 0.0 AS along, round(sqrt(avg(power(-(pn - tn) * sin(psi) + (pe - te) * cos(psi), 2))), 3) + 0.0 AS cross_track FROM tr GROUP BY route_id")
 def agg_trajectory_rmse(spark, d):
     dn, de, psi = F.col("pn") - F.col("tn"), F.col("pe") - F.col("te"), F.col("true_psi")
     rms = lambda x: r6(F.sqrt(F.avg(x * x)), 3)
-    return tracks(spark, d).agg(r6(F.sqrt(F.avg(dn * dn + de * de)), 3).alias("rmse"), rms(dn * F.cos(psi) + de * F.sin(psi)).alias("along"), rms(-dn * F.sin(psi) + de * F.cos(psi)).alias("cross_track"))
+    return tracks(spark, d).groupBy("route_id").agg(r6(F.sqrt(F.avg(dn * dn + de * de)), 3).alias("rmse"), rms(dn * F.cos(psi) + de * F.sin(psi)).alias("along"), rms(-dn * F.sin(psi) + de * F.cos(psi)).alias("cross_track"))
 
 
-_SC = TRACK_SQL + _ERR + ", wn AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS wid), sc AS (SELECT wid, max_by(err, seq) - min_by(err, seq) AS end_error, sum(ds) AS distance, avg(abs(sqrt(vn * vn + ve * ve) - speed)) AS speed_mae, avg(sqrt(vn * vn + ve * ve) - speed) AS speed_bias FROM er JOIN wn ON t >= wid * 10 AND t < wid * 10 + 30 GROUP BY wid)"
+_SC = TRACK_SQL + _ERR + ", wn AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS wid), sc AS (SELECT route_id, wid, max_by(err, seq) - min_by(err, seq) AS end_error, sum(ds) AS distance, avg(abs(sqrt(vn * vn + ve * ve) - speed)) AS speed_mae, avg(sqrt(vn * vn + ve * ve) - speed) AS speed_bias FROM er JOIN wn ON t >= wid * 10 AND t < wid * 10 + 30 GROUP BY route_id, wid)"
 
 
 def _scores(spark, d):
     e = _errors(spark, d).where("t < 120").withColumn("wid", F.explode(F.expr("sequence(greatest(0, cast(floor((t - 30) / 10) as int) + 1), least(9, cast(floor(t / 10) as int)))")))
     e = e.where("t >= wid * 10 AND t < wid * 10 + 30")
     v = F.hypot("vn", "ve")
-    return e.groupBy("wid").agg((F.max_by("err", "seq") - F.min_by("err", "seq")).alias("end_error"), F.sum("ds").alias("distance"), F.avg(F.abs(v - F.col("speed"))).alias("speed_mae"), F.avg(v - F.col("speed")).alias("speed_bias"))
+    return e.groupBy("route_id", "wid").agg((F.max_by("err", "seq") - F.min_by("err", "seq")).alias("end_error"), F.sum("ds").alias("distance"), F.avg(F.abs(v - F.col("speed"))).alias("speed_mae"), F.avg(v - F.col("speed")).alias("speed_bias"))
 
 
-@query("agg_scorecard", _SC + " SELECT wid, round(end_error, 3) + 0.0 AS end_error, round(distance, 3) + 0.0 AS distance, round(end_error / distance * 100, 3) + 0.0 AS drift_pct, round(speed_mae, 3) + 0.0 AS speed_mae, round(speed_bias, 3) + 0.0 AS speed_bias FROM sc")
+@query("agg_scorecard", _SC + " SELECT route_id, wid, round(end_error, 3) + 0.0 AS end_error, round(distance, 3) + 0.0 AS distance, round(end_error / distance * 100, 3) + 0.0 AS drift_pct, round(speed_mae, 3) + 0.0 AS speed_mae, round(speed_bias, 3) + 0.0 AS speed_bias FROM sc")
 def agg_scorecard(spark, d):
     """Drift, distance and speed errors for overlapping blackout windows: samples go to the windows they lie in."""
     s = _scores(spark, d).withColumn("drift_pct", F.col("end_error") / F.col("distance") * 100)
-    return _rounded(s, ["wid"], 3)
+    return _rounded(s, ["route_id", "wid"], 3)
 
 
-@query("agg_multiwindow_summary", _SC + ", dp AS (SELECT end_error / distance * 100 AS p FROM sc) SELECT count(*) AS n, round(avg(p), 3) + 0.0 AS mean, round(median(p), 3) + 0.0 AS median, round(min(p), 3) + 0.0 AS least, round(max(p), 3) + 0.0 AS most, round(avg(CASE WHEN p < 5 THEN 100.0::DOUBLE ELSE 0 END), 3) + 0.0 AS under5 FROM dp")
+@query("agg_multiwindow_summary", _SC + ", dp AS (SELECT route_id, end_error / distance * 100 AS p FROM sc) SELECT route_id, count(*) AS n, round(avg(p), 3) + 0.0 AS mean, round(median(p), 3) + 0.0 AS median, round(min(p), 3) + 0.0 AS least, round(max(p), 3) + 0.0 AS most, round(avg(CASE WHEN p < 5 THEN 100.0::DOUBLE ELSE 0 END), 3) + 0.0 AS under5 FROM dp GROUP BY route_id")
 def agg_multiwindow_summary(spark, d):
     p = F.col("end_error") / F.col("distance") * 100
     s = _scores(spark, d).withColumn("p", p)
-    return s.agg(F.count("*").alias("n"), r6(F.avg("p"), 3).alias("mean"), r6(F.median("p"), 3).alias("median"), r6(F.min("p"), 3).alias("least"), r6(F.max("p"), 3).alias("most"), r6(F.avg(F.when(F.col("p") < 5, 100.0).otherwise(0.0)), 3).alias("under5"))
+    return s.groupBy("route_id").agg(F.count("*").alias("n"), r6(F.avg("p"), 3).alias("mean"), r6(F.median("p"), 3).alias("median"), r6(F.min("p"), 3).alias("least"), r6(F.max("p"), 3).alias("most"), r6(F.avg(F.when(F.col("p") < 5, 100.0).otherwise(0.0)), 3).alias("under5"))
 
 
 @query("agg_channel_norm", "WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS ch FROM embeddings WHERE vec_id % 10 < 7) SELECT ch::BIGINT AS ch, round(avg(x), 6) + 0.0 AS mean, round(greatest(stddev_pop(x), 1e-6), 6) + 0.0 AS std FROM c GROUP BY ch")
@@ -195,10 +195,10 @@ def agg_cls_metrics(spark, d):
     return _rounded(A.classification(table(spark, d, "labels"), "quality", "toxic"), [], 6)
 
 
-@query("agg_physics_rmse", TRACK_SQL + ", b AS (SELECT seq, sqrt(vn * vn + ve * ve) - speed AS e FROM tr WHERE t >= 40 AND t < 100) SELECT round(sqrt(avg(e * e)), 4) + 0.0 AS rmse, round(avg(e), 4) + 0.0 AS bias, round(max(abs(e)), 4) + 0.0 AS most, round(max_by(e, seq), 4) + 0.0 AS at_end FROM b")
+@query("agg_physics_rmse", TRACK_SQL + ", b AS (SELECT route_id, seq, sqrt(vn * vn + ve * ve) - speed AS e FROM tr WHERE t >= 40 AND t < 100) SELECT route_id, round(sqrt(avg(e * e)), 4) + 0.0 AS rmse, round(avg(e), 4) + 0.0 AS bias, round(max(abs(e)), 4) + 0.0 AS most, round(max_by(e, seq), 4) + 0.0 AS at_end FROM b GROUP BY route_id")
 def agg_physics_rmse(spark, d):
     b = tracks(spark, d).where("t >= 40 AND t < 100").withColumn("e", F.hypot("vn", "ve") - F.col("speed"))
-    return b.agg(r6(F.sqrt(F.avg(F.col("e") * F.col("e"))), 4).alias("rmse"), r6(F.avg("e"), 4).alias("bias"), r6(F.max(F.abs("e")), 4).alias("most"), r6(F.max_by("e", "seq"), 4).alias("at_end"))
+    return b.groupBy("route_id").agg(r6(F.sqrt(F.avg(F.col("e") * F.col("e"))), 4).alias("rmse"), r6(F.avg("e"), 4).alias("bias"), r6(F.max(F.abs("e")), 4).alias("most"), r6(F.max_by("e", "seq"), 4).alias("at_end"))
 
 
 @query("agg_highway_hist", "SELECT p_type, count(*) AS n FROM part GROUP BY p_type")
@@ -225,24 +225,24 @@ def flt_sanity_rules(spark, d):
     return a.select("session_id", F.array_join(flags, ",").alias("flags"))
 
 
-@query("est_live_drift", TRACK_SQL + _ERR + ", b AS (SELECT seq, err, sum(ds) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS travelled FROM er WHERE t >= 40 AND t < 100) SELECT seq, CASE WHEN travelled >= 15 THEN round(err / travelled * 100, 3) + 0.0 END AS drift_pct FROM b")
+@query("est_live_drift", TRACK_SQL + _ERR + ", b AS (SELECT route_id, seq, err, sum(ds) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS travelled FROM er WHERE t >= 40 AND t < 100) SELECT route_id, seq, CASE WHEN travelled >= 15 THEN round(err / travelled * 100, 3) + 0.0 END AS drift_pct FROM b")
 def est_live_drift(spark, d):
     b = _errors(spark, d).where("t >= 40 AND t < 100").withColumn("travelled", F.sum("ds").over(O.running("route_id", "seq")))
-    return b.select("seq", F.when(F.col("travelled") >= 15, r6(F.col("err") / F.col("travelled") * 100, 3)).alias("drift_pct"))
+    return b.select("route_id", "seq", F.when(F.col("travelled") >= 15, r6(F.col("err") / F.col("travelled") * 100, 3)).alias("drift_pct"))
 
 
-@query("est_blackout_toggle", TRACK_SQL + " SELECT seq, CASE WHEN t >= 40 AND t < 100 THEN NULL ELSE round(tn, 3) + 0.0 END AS gnss_n, round(tn, 3) + 0.0 AS truth_n FROM tr")
+@query("est_blackout_toggle", TRACK_SQL + " SELECT route_id, seq, CASE WHEN t >= 40 AND t < 100 THEN NULL ELSE round(tn, 3) + 0.0 END AS gnss_n, round(tn, 3) + 0.0 AS truth_n FROM tr")
 def est_blackout_toggle(spark, d):
     n = r6(F.col("tn"), 3)
-    return tracks(spark, d).select("seq", F.when((F.col("t") >= 40) & (F.col("t") < 100), F.lit(None)).otherwise(n).alias("gnss_n"), n.alias("truth_n"))
+    return tracks(spark, d).select("route_id", "seq", F.when((F.col("t") >= 40) & (F.col("t") < 100), F.lit(None)).otherwise(n).alias("gnss_n"), n.alias("truth_n"))
 
 
-@query("est_gnss_ramp", with_("route") + " SELECT seq, round(CASE WHEN t < 100 THEN 1.0 WHEN (t - 100) / 2.5 >= 1 THEN 1.0 ELSE 50 + (1 - 50) * ((t - 100) / 2.5) END::DOUBLE, 6) + 0.0 AS mult FROM route")
+@query("est_gnss_ramp", with_("route") + " SELECT route_id, seq, round(CASE WHEN t < 100 THEN 1.0 WHEN (t - 100) / 2.5 >= 1 THEN 1.0 ELSE 50 + (1 - 50) * ((t - 100) / 2.5) END::DOUBLE, 6) + 0.0 AS mult FROM route")
 def est_gnss_ramp(spark, d):
     from driftline.plans.surrogates import route
 
     since = F.when(F.col("t") >= 100, F.col("t") - 100)
-    return route(spark, d).select("seq", r6(S.reacquire_multiplier(since)).alias("mult"))
+    return route(spark, d).select("route_id", "seq", r6(S.reacquire_multiplier(since)).alias("mult"))
 
 
 @query("stm_tumbling_rate", "SELECT user_id AS session_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY ALL")

@@ -1,21 +1,22 @@
-"""Queries whose operators are sequential kernels: SQL can't express them, tests check them against invariants."""
+"""Queries whose operators are sequential kernels: where SQL can't express them, tests check them against invariants."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftline.functions import scalar as S
 from driftline.operators import estimators as E
 from driftline.operators import joins as J
 from driftline.operators import ordered as O
 from driftline.operators import tensors as T
 from driftline.plans.ordered_queries import tracks
 from driftline.plans.registry import query
-from driftline.plans.relational_queries import _matched, _points, _polyline
-from driftline.plans.surrogates import sess, sig, table
+from driftline.plans.relational_queries import _NEAR, _points, _polyline
+from driftline.plans.surrogates import sess, sig, table, with_
 
 
 def fusion_input(spark, d, speed: bool = True):
-    """The synthetic drive with fixes every second outside [40, 100) and a speed channel every row."""
+    """The drives with fixes every second outside [40, 100) and a speed channel every row."""
     t = tracks(spark, d)
     fix = (F.col("seq") % 10 == 0) & ~((F.col("t") >= 40) & (F.col("t") < 100))
     return t.select("route_id", "seq", "t", "gyro_yaw", F.when(fix, F.col("tn")).alias("gnss_n"), F.when(fix, F.col("te")).alias("gnss_e"), F.when(fix, F.col("speed") * F.cos("true_psi")).alias("gnss_vn"), F.when(fix, F.col("speed") * F.sin("true_psi")).alias("gnss_ve"), F.when(fix, F.col("true_psi")).alias("course"), (F.col("speed") if speed else F.lit(None).cast("double")).alias("speed_a"), F.lit(16.7).alias("v0"), F.lit(0.0).alias("psi0"), "tn", "te")
@@ -56,13 +57,28 @@ def geo_viterbi(spark, d):
     return E.map_match(m.select("drive", "seq", "n", "e", "seg_id", "dist", "mid_n", "mid_e"), "drive")
 
 
-@query("geo_score_match")
+_SCORE = _NEAR.replace("WITH", "WITH RECURSIVE", 1) + """, ps AS (SELECT event_id, event_id // 500 AS drive, event_id % 500 AS seq, e / 50 AS psi FROM pt),
+hd AS (SELECT ps.drive, ps.seq, ds.seg_id, ds.dist, atan2(ds.p2e - ds.p1e, ds.p2n - ds.p1n) - ps.psi + pi() AS d FROM ps JOIN ds USING (event_id) WHERE dist < 30),
+cd AS (SELECT drive, seq, seg_id, dist + 20 * least(abs(d - 2 * pi() * floor(d / (2 * pi())) - pi()), abs(d + pi() - 2 * pi() * floor((d + pi()) / (2 * pi())) - pi())) AS score FROM hd),
+pv AS (SELECT drive, seq + 1 AS seq, seg_id AS prev FROM cd UNION ALL SELECT drive, seq, -1 FROM ps),
+sc AS (SELECT c.drive, c.seq, prev, c.seg_id, c.score + CASE WHEN prev < 0 OR abs(c.seg_id - prev) <= 1 THEN 0 ELSE 10 END AS score FROM cd c JOIN pv ON c.drive = pv.drive AND c.seq = pv.seq),
+tb AS MATERIALIZED (SELECT drive, seq, prev, min_by(seg_id, (round(score, 9), seg_id)) AS seg_id, min_by(score, (round(score, 9), seg_id)) AS score FROM sc GROUP BY ALL),
+rc AS (SELECT p.event_id, p.drive, p.seq, coalesce(t.seg_id, -1) AS seg, t.score, false AS continuous FROM ps p LEFT JOIN tb t ON t.drive = p.drive AND t.seq = p.seq AND t.prev = -1 WHERE p.seq = 0
+ UNION ALL SELECT p.event_id, p.drive, p.seq, coalesce(t.seg_id, -1), t.score, t.seg_id IS NOT NULL AND rc.seg >= 0 AND abs(t.seg_id - rc.seg) <= 1
+ FROM rc JOIN ps p ON p.drive = rc.drive AND p.seq = rc.seq + 1 LEFT JOIN tb t ON t.drive = p.drive AND t.seq = p.seq AND t.prev = rc.seg)
+SELECT event_id, nullif(seg, -1) AS seg_id, round(score, 6) + 0.0 AS score, continuous FROM rc"""
+
+
+@query("geo_score_match", _SCORE)
 def geo_score_match(spark, d):
-    """Nearest by distance, then continuity with the match before where that is as near."""
-    m = _matched(spark, d).withColumn("drive", F.expr("event_id div 2000"))
-    best = J.nearest(m, ["drive", "event_id"])
-    before = F.lag("seg_id").over(O.over("drive", "event_id"))
-    return best.select("drive", "event_id", "seg_id", (before.isNotNull() & (F.abs(F.col("seg_id") - before) <= 1)).alias("continuous"))
+    """Distance, heading either way and continuity with the match before, step after step; no match resets continuity."""
+    p = _points(spark, d).select("event_id", F.expr("event_id div 500").alias("drive"), (F.col("event_id") % 500).alias("seq"), "n", "e", (F.col("e") / 50).alias("psi"))
+    h = _polyline(spark, d).select("seg_id", "heading")
+    near = J.radius_join(p, _polyline(spark, d), 30.0).join(h, "seg_id")
+    turn = F.least(F.abs(S.wrap_pi(F.col("heading") - F.col("psi"))), F.abs(S.wrap_pi(F.col("heading") + F.pi() - F.col("psi"))))
+    c = p.select("event_id", "drive", "seq").join(near.select("event_id", "seg_id", F.col("seg_id").alias("u"), (F.col("seg_id") + 1).alias("v"), (F.col("dist") + 20 * turn).alias("score")), "event_id", "left")
+    m = E.score_match(c.drop("event_id"), "drive")
+    return m.select((F.col("drive") * 500 + F.col("seq")).alias("event_id"), "seg_id", S.r6(F.col("score")).alias("score"), "continuous")
 
 
 @query("geo_polyline_chain")
@@ -70,6 +86,13 @@ def geo_polyline_chain(spark, d):
     return E.chain(_polyline(spark, d).select("road", "seg_id", "p1n", "p1e", "p2n", "p2e"), "road")
 
 
+@query("win_spectral_regime")
+def win_spectral_regime(spark, d):
+    """Spectra of the samples of each speed regime, for drives of 2000 samples."""
+    drives = sig(spark, d).select(F.expr("event_id div 2000").alias("drive"), "event_id", "v", (F.col("k") / F.lit(4.0)).alias("speed"))
+    return E.welch_by_regime(drives, "drive", "event_id", "v", "speed")
+
+
 @query("win_spectral_welch")
 def win_spectral_welch(spark, d):
     return E.welch(sig(spark, d), "session_id", "t", "v", 10.0)
@@ -85,25 +108,39 @@ def rnd_rotation_aug(spark, d):
     return T.rotation_augmented(sig(spark, d).select("event_id", F.col("v").alias("x"), F.col("k").cast("double").alias("y")), ["event_id"], "x", "y")
 
 
-@query("ml_window_inference")
+@query("ml_window_inference", "SELECT vec_id, round(list_sum([embedding[i]::DOUBLE * (-1 + (i - 1) * 2 / 63.0::DOUBLE) for i in generate_series(1, 64)]), 4) + 0.0 AS prediction FROM embeddings")
 def ml_window_inference(spark, d):
     import numpy as np
 
-    return E.infer(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", weights=np.linspace(-1, 1, 64)).select("vec_id", "prediction")
+    x = E.infer(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", weights=np.linspace(-1, 1, 64))
+    return x.select("vec_id", S.r6(F.col("prediction"), 4).alias("prediction"))
+
+
+@query("ml_onnx_network", "SELECT vec_id, round(0.25 + list_sum([(h - 4) / 4.0::DOUBLE * greatest(0.0, 0.1 * h + list_sum([embedding[i]::DOUBLE * sin(i * (h + 1.0)) for i in generate_series(1, 64)])) for h in generate_series(0, 7)]), 2) + 0.0 AS prediction FROM embeddings")
+def ml_onnx_network(spark, d):
+    """A network with a hidden layer, as the bytes of an ONNX file, over windows."""
+    import numpy as np
+
+    from driftline.operators.onnx_bytes import dense_network
+
+    i, h = np.arange(1, 65)[:, None], np.arange(8)
+    model = dense_network([(np.sin(i * (h + 1.0)), 0.1 * h), (((h - 4) / 4)[:, None], np.array([0.25]))])
+    x = E.infer(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", model)
+    return x.select("vec_id", S.r6(F.col("prediction"), 2).alias("prediction"))
 
 
-@query("ml_delta_accumulate")
+@query("ml_delta_accumulate", with_("sig") + " SELECT event_id, greatest(0.0, round(sum((v - 50) / 100) OVER (PARTITION BY session_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 6)) + 0.0 AS speed FROM sig")
 def ml_delta_accumulate(spark, d):
     """Running sum of predicted speed changes, at least zero."""
     s = sig(spark, d).withColumn("dv", (F.col("v") - 50) / 100)
-    return s.select("event_id", F.greatest(F.lit(0.0), F.sum("dv").over(O.running("session_id", ["t", "event_id"]))).alias("speed"))
+    return s.select("event_id", F.greatest(F.lit(0.0), S.r6(F.sum("dv").over(O.running("session_id", ["t", "event_id"])))).alias("speed"))
 
 
 def stream_rows(spark, d):
-    """Samples at 10 Hz and fixes at 1 Hz of the synthetic drive, as rows of the live path."""
+    """Samples at 10 Hz and fixes at 1 Hz of the drives, as rows of the live path."""
     t = tracks(spark, d)
-    imu = t.select(F.lit("drive").alias("session_id"), F.lit("imu").alias("kind"), "t", F.col("gyro_yaw").alias("gyro"), (F.col("t") < 2).alias("quiet"), F.lit(None).cast("double").alias("gnss_n"), F.lit(None).cast("double").alias("gnss_e"), F.lit(None).cast("double").alias("speed"))
-    fix = t.where("seq % 10 = 0 AND (t < 40 OR t >= 100)").select(F.lit("drive").alias("session_id"), F.lit("gnss").alias("kind"), "t", F.lit(None).cast("double").alias("gyro"), F.lit(False).alias("quiet"), F.col("tn").alias("gnss_n"), F.col("te").alias("gnss_e"), "speed")
+    imu = t.select(F.col("route_id").cast("string").alias("session_id"), F.lit("imu").alias("kind"), "t", F.col("gyro_yaw").alias("gyro"), (F.col("t") < 2).alias("quiet"), F.lit(None).cast("double").alias("gnss_n"), F.lit(None).cast("double").alias("gnss_e"), F.lit(None).cast("double").alias("speed"))
+    fix = t.where("seq % 10 = 0 AND (t < 40 OR t >= 100)").select(F.col("route_id").cast("string").alias("session_id"), F.lit("gnss").alias("kind"), "t", F.lit(None).cast("double").alias("gyro"), F.lit(False).alias("quiet"), F.col("tn").alias("gnss_n"), F.col("te").alias("gnss_e"), "speed")
     return imu.unionByName(fix)
 
 

@@ -161,11 +161,11 @@ def win_apex_exit(spark, d):
     return c.groupBy("session_id").agg(F.min_by("i", F.struct(F.round("cum", 4), "i")).alias("apex"), r6(F.min("cum"), 4).alias("low"))
 
 
-_DR = """, d AS (SELECT *, coalesce(t - lag(t) OVER (ORDER BY seq), 0) AS dt FROM route), h AS (SELECT *, sum(gyro_yaw * dt) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hd FROM d),
-v AS (SELECT *, 16.7 + sum((ax * cos(hd) - ay * sin(hd)) * dt) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS vn, sum((ax * sin(hd) + ay * cos(hd)) * dt) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS ve FROM h),
-p AS (SELECT *, coalesce((vn + lag(vn) OVER (ORDER BY seq)) / 2, 0) * dt AS dn, coalesce((ve + lag(ve) OVER (ORDER BY seq)) / 2, 0) * dt AS de,
- coalesce((speed * cos(psi) + lag(speed * cos(psi)) OVER (ORDER BY seq)) / 2, 0) * dt AS tdn, coalesce((speed * sin(psi) + lag(speed * sin(psi)) OVER (ORDER BY seq)) / 2, 0) * dt AS tde FROM v),
-tr AS (SELECT *, sum(dn) OVER w AS pn, sum(de) OVER w AS pe, sum(tdn) OVER w AS tn, sum(tde) OVER w AS te FROM p WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+_DR = """, d AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY route_id ORDER BY seq), 0) AS dt FROM route), h AS (SELECT *, sum(gyro_yaw * dt) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hd FROM d),
+v AS (SELECT *, 16.7 + sum((ax * cos(hd) - ay * sin(hd)) * dt) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS vn, sum((ax * sin(hd) + ay * cos(hd)) * dt) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS ve FROM h),
+p AS (SELECT *, coalesce((vn + lag(vn) OVER (PARTITION BY route_id ORDER BY seq)) / 2, 0) * dt AS dn, coalesce((ve + lag(ve) OVER (PARTITION BY route_id ORDER BY seq)) / 2, 0) * dt AS de,
+ coalesce((speed * cos(psi) + lag(speed * cos(psi)) OVER (PARTITION BY route_id ORDER BY seq)) / 2, 0) * dt AS tdn, coalesce((speed * sin(psi) + lag(speed * sin(psi)) OVER (PARTITION BY route_id ORDER BY seq)) / 2, 0) * dt AS tde FROM v),
+tr AS (SELECT *, sum(dn) OVER w AS pn, sum(de) OVER w AS pe, sum(tdn) OVER w AS tn, sum(tde) OVER w AS te FROM p WINDOW w AS (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
 TRACK_SQL = ROUTE + _DR
 
 
@@ -180,9 +180,9 @@ def tracks(spark, d):
     return r
 
 
-@query("win_euler_dr", TRACK_SQL + " SELECT seq, round(pn, 4) + 0.0 AS pn, round(pe, 4) + 0.0 AS pe, round(vn, 5) + 0.0 AS vn, round(ve, 5) + 0.0 AS ve FROM tr")
+@query("win_euler_dr", TRACK_SQL + " SELECT route_id, seq, round(pn, 4) + 0.0 AS pn, round(pe, 4) + 0.0 AS pe, round(vn, 5) + 0.0 AS vn, round(ve, 5) + 0.0 AS ve FROM tr")
 def win_euler_dr(spark, d):
-    return tracks(spark, d).select("seq", r6(F.col("pn"), 4).alias("pn"), r6(F.col("pe"), 4).alias("pe"), r6(F.col("vn"), 5).alias("vn"), r6(F.col("ve"), 5).alias("ve"))
+    return tracks(spark, d).select("route_id", "seq", r6(F.col("pn"), 4).alias("pn"), r6(F.col("pe"), 4).alias("pe"), r6(F.col("vn"), 5).alias("vn"), r6(F.col("ve"), 5).alias("ve"))
 
 
 _ISL = SIG + f", f AS (SELECT *, CASE WHEN k % 10 = 0 THEN v END AS fix, coalesce(t - lag(t) OVER ({_P}), 0) / 1e5::DOUBLE AS dt FROM sig), g AS (SELECT *, count(fix) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS isl FROM f), s AS (SELECT *, coalesce(max(fix) OVER (PARTITION BY session_id, isl), 0) AS base, sum(CASE WHEN fix IS NULL THEN (v - 40) * dt ELSE 0 END) OVER (PARTITION BY session_id, isl ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS mv FROM g)"

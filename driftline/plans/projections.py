@@ -96,10 +96,10 @@ def prj_velocity(spark, d):
     return sig(spark, d).select("event_id", r6(n).alias("vn"), r6(e).alias("ve"))
 
 
-@query("prj_rotate_body_world", ROUTE + " SELECT seq, round(ax * cos(psi) - ay * sin(psi), 6) + 0.0 AS an, round(ax * sin(psi) + ay * cos(psi), 6) + 0.0 AS ae FROM route")
+@query("prj_rotate_body_world", ROUTE + " SELECT route_id, seq, round(ax * cos(psi) - ay * sin(psi), 6) + 0.0 AS an, round(ax * sin(psi) + ay * cos(psi), 6) + 0.0 AS ae FROM route")
 def prj_rotate(spark, d):
     n, e = S.rotate(F.col("ax"), F.col("ay"), F.col("psi"))
-    return route(spark, d).select("seq", r6(n).alias("an"), r6(e).alias("ae"))
+    return route(spark, d).select("route_id", "seq", r6(n).alias("an"), r6(e).alias("ae"))
 
 
 @query("prj_rotate_mount", SIG + ", m AS (SELECT session_id, radians(session_id % 90) AS a FROM sig GROUP BY session_id) SELECT event_id, round(cos(a) * v - sin(a) * k, 6) + 0.0 AS fx, round(sin(a) * v + cos(a) * k, 6) + 0.0 AS fy, round(0.5::DOUBLE * k, 6) + 0.0 AS yaw_rate FROM sig JOIN m USING (session_id)")
@@ -214,10 +214,10 @@ def est_trust_weight(spark, d):
     return sig(spark, d).select("event_id", S.trust_sigma(F.col("v") / 100, F.col("k") / F.lit(10.0)).alias("r"))
 
 
-@query("est_process_noise", ROUTE + " SELECT seq, round(CASE WHEN t >= 40 AND t < 100 THEN 0.5 ELSE 0.05 END::DOUBLE * 0.1, 6) + 0.0 AS q_pos, round(CASE WHEN t >= 40 AND t < 100 THEN 0.2 ELSE 0.1 END::DOUBLE * 0.1, 6) + 0.0 AS q_vel, round(1e-3 * 0.1, 9) + 0.0 AS q_psi FROM route")
+@query("est_process_noise", ROUTE + " SELECT route_id, seq, round(CASE WHEN t >= 40 AND t < 100 THEN 0.5 ELSE 0.05 END::DOUBLE * 0.1, 6) + 0.0 AS q_pos, round(CASE WHEN t >= 40 AND t < 100 THEN 0.2 ELSE 0.1 END::DOUBLE * 0.1, 6) + 0.0 AS q_vel, round(1e-3 * 0.1, 9) + 0.0 AS q_psi FROM route")
 def est_process_noise(spark, d):
     q = S.process_noise(F.lit(0.1), (F.col("t") >= 40) & (F.col("t") < 100))
-    return route(spark, d).select("seq", r6(q[0]).alias("q_pos"), r6(q[2]).alias("q_vel"), r6(q[4], 9).alias("q_psi"))
+    return route(spark, d).select("route_id", "seq", r6(q[0]).alias("q_pos"), r6(q[2]).alias("q_vel"), r6(q[4], 9).alias("q_psi"))
 
 
 @query("prj_zscore", "WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS ch FROM embeddings), s AS (SELECT ch, avg(x) AS m, greatest(stddev_pop(x), 1e-6) AS sd FROM c GROUP BY ch) SELECT ch::BIGINT AS ch, count(*) AS n, round(sum(abs((x - m) / sd)), 3) + 0.0 AS a FROM c JOIN s USING (ch) GROUP BY ch")

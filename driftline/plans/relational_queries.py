@@ -143,15 +143,6 @@ def join_lookup_stats(spark, d):
     return s.join(st, "event_type", "left").select("event_id", r6(F.col("v") - F.coalesce("m", F.lit(0.0))).alias("c"))
 
 
-@query("src_discover_sessions", "WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'V-' WHEN c_custkey % 3 = 1 THEN 'S-' ELSE 'V-' END || 'x' || (c_custkey // 2) || '.csv' AS f FROM customer), p AS (SELECT regexp_extract(f, '(?i)^[VS]-(.+)\\.csv$', 1) AS sid, bool_or(f LIKE 'V-%') AS v, bool_or(f LIKE 'S-%') AS s FROM f GROUP BY 1) SELECT CASE WHEN v AND NOT s THEN 'unsync_' || sid ELSE sid END AS session_id, v AS has_v, s AS has_s FROM p")
-def src_discover_sessions(spark, d):
-    from driftline.sources.recordings import pair_files
-
-    key = F.col("c_custkey")
-    name = F.concat(F.when(key % 3 == 0, "V-").when(key % 3 == 1, "S-").otherwise("V-"), F.lit("x"), F.expr("c_custkey div 2").cast("string"), F.lit(".csv"))
-    return pair_files(table(spark, d, "customer").select(name.alias("file")), "file")
-
-
 # --- lag search ---
 
 _HR = SIG + ", a AS (SELECT 0 AS session_id, CAST(floor(t / 3600) AS BIGINT) AS i, avg(v) AS v FROM sig WHERE event_type = 'view' GROUP BY ALL), b AS (SELECT 0 AS session_id, CAST(floor(t / 3600) AS BIGINT) AS i, avg(v) AS w FROM sig WHERE event_type = 'click' GROUP BY ALL), lg AS (SELECT g AS lag FROM (SELECT unnest(generate_series(-12, 12)) AS g) WHERE g <> 0), tb AS (SELECT lag, round(corr(a.v, b.w), 6) + 0.0 AS r, count(*) AS n, sum(a.v * b.w) AS dot FROM lg JOIN a ON true JOIN b ON a.i = b.i + lg.lag GROUP BY lag HAVING count(*) >= 3)"
@@ -401,12 +392,13 @@ def geo_corridor_select(spark, d):
     return m.groupBy("event_id").agg(F.max_by("seg_id", F.struct("score", -F.col("seg_id"))).alias("seg_id"))
 
 
-@query("snk_session_csv", SIG + ", u AS (SELECT session_id, t, event_id, CASE WHEN k % 10 = 0 THEN 'gnss' ELSE 'imu' END AS kind, v FROM sig) SELECT session_id, string_agg(kind || ':' || printf('%.2f', v), ';' ORDER BY t, CASE kind WHEN 'imu' THEN 0 ELSE 1 END, event_id) AS line FROM u GROUP BY 1")
+@query("snk_session_csv", SIG + ", u AS (SELECT session_id, t, event_id, CASE WHEN k % 10 = 0 THEN 'gnss' ELSE 'imu' END AS kind, v FROM sig) SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY t, CASE kind WHEN 'imu' THEN 0 ELSE 1 END, event_id) AS place, kind || ':' || printf('%.2f', v) AS line FROM u")
 def snk_session_csv(spark, d):
+    """The merged lines of a session's streams with their places in the file; no session is put into one value."""
     from driftline.sources.sinks import merged_lines
 
     s = sig(spark, d)
     imu, gnss = s.where("k % 10 <> 0"), s.where("k % 10 = 0")
     text = F.format_string("%.2f", "v")
     m = merged_lines(imu.select("session_id", "t", "event_id", F.concat(F.lit("imu:"), text).alias("line")), gnss.select("session_id", "t", "event_id", F.concat(F.lit("gnss:"), text).alias("line")), ["event_id"])
-    return m.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t", "stream_rank", "event_id", "line"))), lambda r: r["line"]), ";").alias("line"))
+    return m.select("session_id", "event_id", F.row_number().over(O.over("session_id", ["t", "stream_rank", "event_id"])).cast("long").alias("place"), "line")

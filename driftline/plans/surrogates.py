@@ -41,11 +41,13 @@ def sess(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.format_string("S%06d", "c_custkey").alias("session_id"), F.col("c_mktsegment").alias("driver"), "c_custkey", "c_acctbal")
 
 
-def route(spark: SparkSession, d: str = "") -> DataFrame:
-    """A noise-free drive of 120 s at 10 Hz with sinusoidal speed on a constant turn."""
-    from driftline.sources.synthetic import synth_route
-
-    return synth_route(spark, "varying_speed")
+def route(spark: SparkSession, d: str) -> DataFrame:
+    """Drives of 2000 events each, at 10 Hz: sinusoidal speed on a constant turn, sensor noise from the events' values."""
+    t, v = F.col("seq") * F.lit(0.1), F.col("v")
+    wave, rate = 2 * F.pi() * t / 20, F.radians(F.lit(3.0))
+    speed = F.lit(16.7) + 5 * F.sin(wave)
+    x = sig(spark, d).select(F.expr("event_id div 2000").alias("route_id"), (F.col("event_id") % 2000).alias("seq"), "v", "k")
+    return x.select("route_id", "seq", t.alias("t"), speed.alias("speed"), (rate * t).alias("psi"), (rate + (F.col("k") - 50) * F.lit(1e-5)).alias("gyro_yaw"), (F.lit(5.0) * 2 * F.pi() / 20 * F.cos(wave) + (v - 50) * F.lit(1e-4)).alias("ax"), (speed * rate).alias("ay"))
 
 
 SQL = {
@@ -55,11 +57,13 @@ SQL = {
     "pair": "SELECT l_returnflag AS grp, l_quantity, l_discount * 100 AS y, l_tax * 100 AS yhat, l_extendedprice, l_orderkey FROM lineitem",
     "road": "SELECT i, i * 10 + sin(i / 7.0::DOUBLE) * 5 AS n, cos(i / 11.0::DOUBLE) * 8 AS e FROM (SELECT unnest(generate_series(0, 199)) AS i)",
     "sess": "SELECT 'S' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS session_id, c_mktsegment AS driver, c_custkey, c_acctbal FROM customer",
-    "route": """SELECT seq, seq * 0.1::DOUBLE AS t, 16.7 + 5 * sin(2 * pi() * (seq * 0.1::DOUBLE) / 20) AS speed, radians(3.0) * (seq * 0.1::DOUBLE) AS psi, radians(3.0) AS gyro_yaw,
+    "route": """SELECT event_id // 2000 AS route_id, event_id % 2000 AS seq, (event_id % 2000) * 0.1::DOUBLE AS t, 16.7 + 5 * sin(2 * pi() * ((event_id % 2000) * 0.1::DOUBLE) / 20) AS speed, radians(3.0) * ((event_id % 2000) * 0.1::DOUBLE) AS psi,
+ radians(3.0) + (k - 50) * 1e-5::DOUBLE AS gyro_yaw, 5 * 2 * pi() / 20 * cos(2 * pi() * ((event_id % 2000) * 0.1::DOUBLE) / 20) + (v - 50) * 1e-4::DOUBLE AS ax, (16.7 + 5 * sin(2 * pi() * ((event_id % 2000) * 0.1::DOUBLE) / 20)) * radians(3.0) AS ay FROM sig""",
+    "synth": """SELECT seq, seq * 0.1::DOUBLE AS t, 16.7 + 5 * sin(2 * pi() * (seq * 0.1::DOUBLE) / 20) AS speed, radians(3.0) * (seq * 0.1::DOUBLE) AS psi, radians(3.0) AS gyro_yaw,
  5 * 2 * pi() / 20 * cos(2 * pi() * (seq * 0.1::DOUBLE) / 20) AS ax, (16.7 + 5 * sin(2 * pi() * (seq * 0.1::DOUBLE) / 20)) * radians(3.0) AS ay
  FROM (SELECT unnest(generate_series(0, 1200)) AS seq)""",
 }
-_NEEDS = {"geo": ["sig"]}
+_NEEDS = {"geo": ["sig"], "route": ["sig"]}
 
 
 def with_(*names: str) -> str:

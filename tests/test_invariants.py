@@ -237,3 +237,115 @@ def test_nearest_beyond(spark):
     pts = spark.createDataFrame([(1, 5.0, 3.0), (2, 5.0, 240.0), (3, 5.0, 9000.0), (4, None, 1.0)], "id long, n double, e double")
     got = {r.id: (r.seg_id, round(r.dist, 6)) for r in J.nearest_beyond(pts, seg, 25.0, ["id"]).collect()}
     assert got == {2: (1, 240.0), 3: (2, 8500.0)}
+
+
+def test_committed_steps_equal_a_decode_of_every_window():
+    rnd = np.random.default_rng(3)
+    for n, window in ((1, 15), (4, 15), (40, 5), (60, 15)):
+        steps = rnd.normal(size=(n, 2)).cumsum(axis=0) * 8
+        count = rnd.integers(1, 6, n)
+        there = np.arange(5)[None, :] < count[:, None]
+        dist, mid = rnd.uniform(0, 25, (n, 5)), steps[:, None, :] + rnd.normal(size=(n, 5, 2)) * 20
+        got = E.committed(steps, dist, mid, there, window, at_once=7)
+        cands = [[(j, dist[i, j], *mid[i, j]) for j in range(count[i])] for i in range(n)]
+        want = [E.viterbi([tuple(x) for x in steps[i : i + window]], cands[i : i + window])[0] for i in range(max(1, n - window + 1))]
+        assert got.tolist() == want
+
+
+def test_score_match_resets_without_candidates(spark):
+    rows = [(1, 0, 5, 5, 6, 1.0), (1, 0, 9, 9, 10, 0.5), (1, 1, 5, 5, 6, 0.0), (1, 1, 10, 10, 11, 9.0), (1, 2, None, None, None, None), (1, 3, 5, 5, 6, 1.0), (1, 3, 10, 10, 11, 1.5), (2, 0, 7, 7, 8, 3.0), (2, 0, 6, 6, 7, 3.0)]
+    c = spark.createDataFrame(rows, "drive long, seq long, seg_id long, u long, v long, score double")
+    got = sorted(tuple(r) for r in E.score_match(c, "drive").collect())
+    assert got == [(1, 0, 9, 0.5, False), (1, 1, 10, 9.0, True), (1, 2, None, None, False), (1, 3, 5, 1.0, False), (2, 0, 6, 3.0, False)]
+
+
+def test_chain_takes_the_nearest_next(spark):
+    rows = [(0, i, 10.0 * i, 0.0, 10.0 * i + 9, 0.0) for i in range(30)] + [(0, 50, 9.5, 4.0, 500.0, 500.0), (0, 51, 900.0, 0.0, 910.0, 0.0)]
+    got = [r.seg_id for r in E.chain(spark.createDataFrame(rows, "road int, seg_id long, p1n double, p1e double, p2n double, p2e double"), "road").orderBy("pos").collect()]
+    assert got == list(range(30))
+
+
+def test_spectra(spark):
+    """A tone stands out at its frequency, and the density adds up to the variance; regimes with few samples have none."""
+    t = np.arange(4000) / 10
+    x = 3 * np.sin(2 * np.pi * 2.5 * t) + np.random.default_rng(0).normal(size=4000)
+    freq, psd = E._psd(x, 10.0, 256)
+    assert abs(freq[psd.argmax()] - 2.5) < 0.05 and psd.sum() * freq[1] == pytest.approx(x.var(), rel=0.05)
+    rows = spark.createDataFrame([(1, i, float(v), 3.0 if i < 2000 else 12.0 if i < 3950 else 30.0) for i, v in enumerate(x)], "s int, i long, v double, speed double")
+    got = E.welch_by_regime(rows, "s", "i", "v", "speed").toPandas()
+    assert set(got.regime) == {"0-5 m/s", "10-15 m/s"} and (got.groupby("regime").psd.idxmax().map(got.freq) - 2.5).abs().max() < 0.05
+
+
+@pytest.mark.parametrize("max_lag", [3, 40])
+def test_lag_sums_by_definition(spark, max_lag):
+    from driftline.operators import joins as J
+
+    rnd = np.random.default_rng(max_lag)
+    a = {int(i): float(v) for i, v in zip(rnd.choice(5000, 2500, replace=False) - 1000, rnd.normal(5, 2, 2500), strict=True)}
+    b = {i - 2: v + rnd.normal() for i, v in a.items() if rnd.random() < 0.8}
+    df = lambda x: spark.createDataFrame([("s", i, v) for i, v in x.items()], "by string, i long, x double")
+    got = {r.lag: r for r in J.lag_table(df(a), df(b), ["by"], "i", "x", "x", max_lag, zero=True).collect()}
+    for lag in range(-max_lag, max_lag + 1):
+        pairs = np.array([(v, b[i - lag]) for i, v in a.items() if i - lag in b])
+        assert got[lag].n == len(pairs) and got[lag].dot == pytest.approx((pairs[:, 0] * pairs[:, 1]).sum())
+        assert got[lag].r == pytest.approx(np.corrcoef(pairs.T)[0, 1], abs=1e-9)
+    assert J.lag_table(df(a), df(b), ["by"], "i", "x", "x", max_lag).where("lag = 0").count() == 0
+
+
+def test_scans_over_many_batches(spark):
+    """Scans give the same whether a session is in one batch or many, and sessions don't touch one another."""
+    rnd = np.random.default_rng(5)
+    rows = [(s, i, float(t), float(rnd.normal()), float(rnd.normal()) if rnd.random() < 0.05 else None) for s, n in enumerate((1, 2, 700, 3, 90)) for i, t in enumerate(rnd.uniform(0, 1, n).cumsum())]
+    df = spark.createDataFrame(rows, "s int, i long, t double, a double, fix double")
+
+    def all_of():
+        return [sorted((tuple(r) for r in x.collect()), key=lambda r: r[:2]) for x in (O.ema(df, "a", "s", "i", 0.1), O.min_spacing(df, "t", "s", "i", 2.0), O.block_average(df, "a", "t", "s", "i", 3.0), O.integrate_reseed(df, "t", "a", "fix", "s", ["i"], -1.0, 1.0, 0.1))]
+
+    whole = all_of()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for some, known in zip(all_of(), whole, strict=True):
+            assert len(some) == len(known) and all(a == pytest.approx(b, abs=1e-12, nan_ok=True) if None not in a else a[:2] == b[:2] for a, b in zip(some, known, strict=True))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ema, kept, speed, last, state = {}, [], {}, {}, {}
+    for s, i, t, a, fix in rows:
+        ema[s, i] = a if i == 0 else 0.1 * a + 0.9 * ema[s, i - 1]
+        if s not in last or t - last[s] >= 2.0:
+            kept.append((s, i))
+            last[s] = t
+        before, at = state.get(s, (0.0, t))
+        state[s] = (fix if fix is not None else max(-1.0, min(1.0, (before + a * (t - at)) * (1 - 0.1 * (t - at)))), t)
+        speed[s, i] = state[s][0]
+    assert {(r.s, r.i): pytest.approx(r.ema, abs=1e-12) for r in O.ema(df, "a", "s", "i", 0.1).collect()} == ema
+    assert sorted((r.s, r.i) for r in O.min_spacing(df, "t", "s", "i", 2.0).collect()) == kept
+    got = {(r.s, r.i): r.speed_est for r in O.integrate_reseed(df, "t", "a", "fix", "s", ["i"], -1.0, 1.0, 0.1).collect()}
+    assert got.keys() == speed.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in speed.items())
+
+
+def test_each_file_by_its_own_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Time (s),Note\n1,Müller é €\n".encode("windows-1252"))
+    (tmp_path / "b.csv").write_bytes("Time (s),Note\n2,Müller é \ufffd\n".encode())
+    got = R.read_csv_any(spark, str(tmp_path), {"time_s": "^time"}, {"note": "^note"})
+    assert sorted((r.time_s, r.note) for r in got.collect()) == [(1.0, "Müller é €"), (2.0, "Müller é \ufffd")]
+
+
+def test_npy_pairs(spark, tmp_path):
+    x = spark.range(10).select(F.array(*[F.col("id").cast("float")] * 3).alias("w"), F.col("id").cast("double").alias("y")).repartition(3)
+    sinks.write_npy(x, "w", "y", f"file://{tmp_path}/x")
+    assert sorted((r.label, list(r.window)) for r in R.read_npy(spark, f"file://{tmp_path}/x").collect()) == [(float(i), [float(i)] * 3) for i in range(10)]
+    np.save(tmp_path / "x" / "labels-00000.npy", np.zeros(99))
+    with pytest.raises(Exception, match="differ in length"):
+        R.read_npy(spark, f"file://{tmp_path}/x").collect()
+    (tmp_path / "x" / "labels-00000.npy").unlink()
+    with pytest.raises(Exception, match="missing"):
+        R.read_npy(spark, f"file://{tmp_path}/x").collect()
+
+
+def test_rotated_copies_keep_their_size(spark):
+    df = spark.range(50).select("id", F.rand(1).alias("x"), F.rand(2).alias("y"))
+    got = T.rotation_augmented(df, ["id"], "x", "y").toPandas()
+    a, b = (got[got.augmented == f].sort_values("id").reset_index() for f in (False, True))
+    assert len(a) == len(b) == 50 and np.allclose(np.hypot(a.x, a.y), np.hypot(b.x, b.y))
+    turned = np.degrees(np.angle((b.x + 1j * b.y) / (a.x + 1j * a.y)))
+    assert (np.abs(turned) <= 30).all() and np.std(turned) > 5
