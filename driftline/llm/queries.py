@@ -22,6 +22,7 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.token_index import read_tokens, write_tokens
 
     out = shared.shared_path(spark, "tokens")
+    shared.passing(spark, out)
     shards = write_tokens(_table(spark, sf_dir, "documents"), out, tokenizer_path("word_bpe_49k.json"))
     return read_tokens(spark, out, shards)
 

@@ -47,11 +47,23 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = path or shared_path(spark, name)
+    passing(spark, path)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Notes a folder of the shared store that is to go when the driver ends, or with clear()."""
     if not _tables:
         atexit.register(_remove_tables)
     _tables[path] = spark
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables made so far, for a driver that lives on: results must have been read or written."""
+    for path, owner in list(_tables.items()):
+        if owner is spark:
+            remove(spark, path)
 
 
 def _remove_tables() -> None:

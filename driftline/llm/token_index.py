@@ -4,23 +4,25 @@ A store is a folder. Each shard holds the documents of one key range in ascendin
 
 * ``NNNNN.bin``: the ids of all its documents, one after the other, as little-endian unsigned integers of 2 or 4 bytes;
 * ``NNNNN.idx``: a minimal perfect hash over the shard's keys. A key's slot stores a fingerprint, the ordinal of its
-  first document and how many documents have the key; a second array has each document's end offset.
+  first document and how many documents have the key; a second array has each document's end offset;
+* ``NNNNN.keys``: the keys themselves, for readers that go over all of them.
 
-``manifest.json`` lists the shards. A lookup finds the shard by key range, then needs one bucket read, one slot read and
-one payload read, however many documents there are.
+``manifest.json`` lists the shards. A lookup finds the shards by key range (one, unless a key has so many documents that
+they fill more), then needs one bucket read, one slot read and one payload read in each, however many documents there are.
 
 Handling of odd rows: a null text is encoded as an empty text; a null key sorts first and is a key of its own; documents
-that repeat a key stay, in order of their text, and a lookup returns all of them; an empty table gives a store without
-shards. Columns other than the key and the text are not read, so their names can't clash.
+that repeat a key stay, in order of a hash of their text (by which they can be dealt to several shards) and of the text,
+and a lookup returns all of them; an empty table gives a store without shards. Columns other than the key and the text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,20 +205,27 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def hash_keys(keys: list) -> np.ndarray:
-    """64-bit hashes of keys, which are integers or strings; None is allowed."""
-    if all(k is None or isinstance(k, (int, np.integer)) for k in keys):
-        raw = np.array([0 if k is None else int(k) & (2**64 - 1) for k in keys], dtype=np.uint64)
-        raw = _mix(raw, 7)
+def hash_keys(keys: pa.Array) -> np.ndarray:
+    """64-bit hashes of an array of integers or strings; nulls have a hash of their own."""
+    none = keys.is_null().to_numpy(zero_copy_only=False)
+    if pa.types.is_integer(keys.type):
+        raw = _mix(pc.fill_null(keys, 0).cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64), 7)
     else:
         import xxhash
 
-        raw = np.array([0 if k is None else xxhash.xxh64_intdigest(str(k).encode(), 7) for k in keys], dtype=np.uint64)
-    none = np.array([k is None for k in keys], dtype=bool)
+        raw = np.fromiter((xxhash.xxh64_intdigest(k.as_py() or "", 7) for k in keys), dtype=np.uint64, count=len(keys))
     raw[none] = NULL_HASH
     return raw
 
 
+def _as_keys(keys: pa.Array | list) -> pa.Array:
+    """Integers as 64-bit ones, all else as strings."""
+    keys = keys if isinstance(keys, pa.Array) else pa.array(keys)
+    if pa.types.is_null(keys.type):
+        return keys.cast(pa.int64())
+    return keys.cast(pa.int64() if pa.types.is_integer(keys.type) else pa.string())
+
+
 def build_mph(hashes: np.ndarray) -> np.ndarray:
     """Displacements of a hash-and-displace minimal perfect hash; distinct hashes get distinct slots of [0, n).
 
@@ -272,22 +281,27 @@ def _fingerprints(hashes: np.ndarray) -> np.ndarray:
     return (_mix(hashes, 4) >> np.uint64(32)).astype(np.uint32)
 
 
-def pack_index(keys: list, ends: np.ndarray, wide: bool) -> bytes:
+def _runs(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal neighbours begin, and how many there are each time."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    same = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
+    none = keys.is_null().to_numpy(zero_copy_only=False)
+    same = same | (none[1:] & none[:-1])
+    first = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    return first, np.diff(np.append(first, len(keys)))
+
+
+def pack_index(keys: pa.Array | list, ends: np.ndarray, wide: bool) -> bytes:
     """The .idx bytes for documents in order, with `ends` their end offsets in ids."""
-    firsts, runs, distinct = [], [], []
-    for i, k in enumerate(keys):
-        if i and k == distinct[-1] and (k is None) == (distinct[-1] is None):
-            runs[-1] += 1
-        else:
-            distinct.append(k)
-            firsts.append(i)
-            runs.append(1)
-    hashes = hash_keys(distinct)
+    keys = _as_keys(keys)
+    firsts, runs = _runs(keys)
+    hashes = hash_keys(keys.take(pa.array(firsts)))
     shift = build_mph(hashes)
-    slots = mph_slots(hashes, shift, len(distinct))
-    prints, first, run = (np.zeros(len(distinct), dtype=t) for t in (np.uint32, np.uint64, np.uint32))
+    slots = mph_slots(hashes, shift, len(firsts))
+    prints, first, run = (np.zeros(len(firsts), dtype=t) for t in (np.uint32, np.uint64, np.uint32))
     prints[slots], first[slots], run[slots] = _fingerprints(hashes), firsts, runs
-    head = MAGIC + struct.pack("<QQQQ", len(keys), len(distinct), len(shift), 4 if wide else 2)
+    head = MAGIC + struct.pack("<QQQQ", len(keys), len(firsts), len(shift), 4 if wide else 2)
     return head + b"".join(np.ascontiguousarray(x).tobytes() for x in (shift, first, np.asarray(ends, dtype=np.uint64), prints, run))
 
 
@@ -309,11 +323,11 @@ class ShardIndex:
         self.shift, self.first, self.ends = take(np.int64, buckets), take(np.uint64, self.keys), take(np.uint64, self.docs)
         self.prints, self.run = take(np.uint32, self.keys), take(np.uint32, self.keys)
 
-    def find(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
         """Ordinal of each key's first document (-1: a fingerprint says it is absent), and its number of documents."""
-        if not self.keys or not keys:
+        if not self.keys or not len(keys):
             return np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        hashes = hash_keys(keys)
+        hashes = hash_keys(_as_keys(keys))
         slots = mph_slots(hashes, self.shift, self.keys)
         there = self.prints[slots] == _fingerprints(hashes)
         return np.where(there, self.first[slots].astype(np.int64), -1), np.where(there, self.run[slots], 0).astype(np.int64)
@@ -341,8 +355,9 @@ _SHARD = "shard int, n_docs long, n_ids long, first_key string, last_key string,
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Encodes every text and writes the store at `out`; returns the manifest, one entry a shard in key order.
 
-    One shuffle deals the texts by key range; adaptive execution sets the number of shards from the bytes. A task
-    encodes its range in one pass and keeps no more than a batch of texts, its word memory and 8 bytes a document.
+    One shuffle deals the texts by key range (and within a key by a hash of the text); adaptive execution sets the number
+    of shards from the bytes. A task encodes its range in one pass and keeps a batch of texts, its word memory, and for
+    each document its key and 8 bytes; building the index takes some 100 bytes a document more.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -365,22 +380,26 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int | N
                 stops = np.cumsum(lens)
                 ids = ids if end_id is None else np.insert(ids, stops, end_id)
                 f.write(ids.tobytes())
-                keys += some.column(0).to_pylist()
+                keys.append(some.column(0))
                 ends.append(total + stops + (0 if end_id is None else np.arange(1, len(stops) + 1)))
                 total += len(ids)
         if f is None:
             return
         f.close()
         store.commit(temp, f"{shard:05d}.bin")
+        keys = _as_keys(pa.concat_arrays(keys))
         store.put(f"{shard:05d}.idx", pack_index(keys, np.concatenate(ends), encoder.wide))
-        store.put(f"{shard:05d}.keys", json.dumps(keys).encode())
-        row = {"shard": [shard], "n_docs": [len(keys)], "n_ids": [total], "first_key": [json.dumps(keys[0])], "last_key": [json.dumps(keys[-1])], "width": [size]}
+        sink = io.BytesIO()
+        with pa.ipc.new_stream(sink, pa.schema([("key", keys.type)])) as w:
+            w.write_batch(pa.RecordBatch.from_arrays([keys], names=["key"]))
+        store.put(f"{shard:05d}.keys", sink.getvalue())
+        row = {"shard": [shard], "n_docs": [len(keys)], "n_ids": [total], "first_key": [json.dumps(keys[0].as_py())], "last_key": [json.dumps(keys[-1].as_py())], "width": [size]}
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.string()), ("last_key", pa.string()), ("width", pa.int32())]))
 
     rows = (
-        docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-        .repartitionByRange(F.col("key").asc_nulls_first())
-        .sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+        docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("salt"))
+        .repartitionByRange(F.col("key").asc_nulls_first(), "salt")
+        .sortWithinPartitions(F.col("key").asc_nulls_first(), "salt", F.col("text").asc_nulls_first())
         .mapInArrow(write, _SHARD)
         .collect()  # one row a shard
     )
@@ -402,14 +421,15 @@ class TokenStore:
         self.store = Store(uri)
         self.shards = json.loads(self.store.read("manifest.json"))
         self.indexes: dict[int, ShardIndex] = {}
-        self.rank = [(s["first_key"] is not None, s["first_key"] or 0 if not isinstance(s["first_key"], str) else s["first_key"]) for s in self.shards]
+        rank = lambda k: (k is not None, 0 if k is None else k)
+        self.first, self.last = ([rank(s[k]) for s in self.shards] for k in ("first_key", "last_key"))
 
     def get(self, key) -> list[np.ndarray]:
         """The id arrays of all documents with this key, in order; empty if there is none."""
-        at = bisect_right(self.rank, (key is not None, 0 if key is None else key)) - 1
-        if at < 0:
-            return []
-        s = self.shards[at]
+        own = (key is not None, 0 if key is None else key)
+        return [x for s in self.shards[bisect_left(self.last, own) : bisect_right(self.first, own)] for x in self._of_shard(s, key)]
+
+    def _of_shard(self, s: dict, key) -> list[np.ndarray]:
         index = self.indexes.setdefault(s["shard"], ShardIndex(self.store.read(f"{s['shard']:05d}.idx"))) if s["shard"] not in self.indexes else self.indexes[s["shard"]]
         first, run = index.find([key])
         out = []
@@ -436,12 +456,12 @@ def read_tokens(spark: SparkSession, out: str, shards: list[dict], key_type: str
         for batch in batches:
             for shard, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 index = ShardIndex(store.read(f"{shard:05d}.idx"))
-                keys = json.loads(store.read(f"{shard:05d}.keys"))
-                distinct = list(dict.fromkeys(keys))
+                keys = pa.ipc.open_stream(store.read(f"{shard:05d}.keys")).read_next_batch().column(0)
+                distinct = keys.take(pa.array(_runs(keys)[0]))
                 firsts, runs = index.find(distinct)
                 cols: list[list] = [[], [], [], []]
                 with store.open(f"{shard:05d}.bin") as f:
-                    for key, first, run in zip(distinct, firsts.tolist(), runs.tolist(), strict=True):
+                    for key, first, run in zip(distinct.to_pylist(), firsts.tolist(), runs.tolist(), strict=True):
                         for o in range(first, first + run):
                             a, b = index.span(o)
                             f.seek(a * index.width)
