@@ -75,7 +75,8 @@ def test_token_store(spark, odd, empty):
     shards = token_index.write_tokens(odd, out, tokenizer_path("word_bpe_49k.json"))
     got = sorted(token_index.read_tokens(spark, out, shards).collect(), key=lambda r: r.start)
     library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    rows = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    rows = odd.withColumn("salt", F.xxhash64("text")).collect()
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.salt, r.text or ""))
     start = 0
     for r, g in zip(rows, got, strict=True):
         ids = library.encode(r.text or "", add_special_tokens=False).ids + [1]
@@ -84,6 +85,17 @@ def test_token_store(spark, odd, empty):
     store = token_index.TokenStore(out)
     assert len(store.get(5)) == 3 and len(store.get(None)) == 2 and store.get(99) == []
     assert store.get(3)[0].tolist() == [1]
+    # One id has most documents, which fill several shards; string ids.
+    many = spark.createDataFrame([(f"k{i:03d}" if i < 40 else "hot", f"text {i} {j}") for i in range(41) for j in range(1 if i < 40 else 3000)], "doc_id string, text string")
+    out = shared.shared_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shards_of_many = token_index.write_tokens(many, out, tokenizer_path("word_bpe_49k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum("hot" in (s["first_key"], s["last_key"]) for s in shards_of_many) > 1 and sum(s["n_docs"] for s in shards_of_many) == 3040
+    store = token_index.TokenStore(out)
+    assert len(store.get("hot")) == 3000 and len(store.get("k007")) == 1 and store.get("k0070") == [] and store.get(None) == []
+    assert token_index.read_tokens(spark, out, shards_of_many, "string").agg(F.sum("n_tokens")).first()[0] == sum(s["n_ids"] for s in shards_of_many)
+    shared.clear(spark)
     none = token_index.write_tokens(empty, shared.shared_path(spark, "t"), tokenizer_path("word_bpe_49k.json"))
     assert none == [] and token_index.read_tokens(spark, out, none).count() == 0
 
@@ -704,6 +716,23 @@ def test_pipeline(spark, data):
     json.dumps([n for n, _ in pipeline.STAGES])
 
 
+def test_pipeline_of_odd_tables(spark, odd, empty, tmp_path):
+    """Nulls, ties, repeated rows, clashing columns and empty tables go through all stages."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    more = odd.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_tokens": F.lit(3), "ids": F.lit("x"), "sp_ids": F.lit(1)})
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("a", "thing that is in no document"), ("b", None), (None, "another text of the same id")], "item_id string, text string")
+    for name, docs, lab, bench in (("odd", more, labels, items), ("none", more.where("false"), labels.where("false"), items.where("false")), ("unlabelled", more, labels.where("false"), items.where("false"))):
+        for table, df in (("documents", docs), ("labels", lab), ("benchmark", bench)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        got = pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        ids = [r.doc_id for r in got]
+        assert len(ids) == len(set(ids)) and all(r.round_trip or "▁" in (r.text or "▁") or r.doc_id == 7 for r in got)
+        assert (name == "none") == (not got) and (name != "odd" or 5 not in ids)
+        for _, stage in pipeline.STAGES[:-1]:
+            assert stage(spark, docs, f"file://{tmp_path}/{name}").columns == docs.columns
+
+
 def brute_sets(all_texts):
     out = []
     for t in all_texts:
@@ -712,6 +741,38 @@ def brute_sets(all_texts):
     return out
 
 
+def test_dense_groups_keep_the_closest_links(spark):
+    """Copies of one text that are near it but hardly each other: trees link each to it, with few pairs to compare."""
+    from driftline.llm import near_copies as N
+
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+    rows = [base] + [[f"n{rnd.random()}" if rnd.random() < 0.022 else x for x in base] for _ in range(250)]
+    sets = brute_sets([" ".join(r) for r in rows])
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    near = [i for i in range(1, len(sets)) if alike(sets[0], sets[i])]
+    fp = np.stack([N.fingerprint(N.shingles([x.encode() for x in r])) for r in rows])
+    x, y, bits = N.spanning_pairs(np.arange(len(rows)), fp)
+    assert len(x) < len(rows) and all(b == np.bitwise_count(fp[i] ^ fp[j]).sum() for i, j, b in zip(x, y, bits, strict=True))
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    kept = {r.doc_id for r in N.one_of_each(docs).collect()}
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert 100 < len(near) and sum(i not in kept for i in near) >= 0.95 * len(near)
+    assert {i for i in range(len(rows)) if find(i) == i} <= kept
+    few = N._dealt(spark.createDataFrame([(i, [int(v) for v in f.view(np.int64)]) for i, f in enumerate(fp)], "node long, fp array<long>"))
+    assert few.count() == 64 * len(rows)
+
+
 def test_pipeline_links_near_copies(spark, empty, odd, monkeypatch):
     """Planted copies of Jaccard 0.8 and more in pairs and in a group that makes anchors large; nothing below is linked."""
     pipeline = pytest.importorskip("corpus_pipeline")
