@@ -9,10 +9,11 @@ from driftline.operators import estimators as E
 from driftline.operators import joins as J
 from driftline.operators import ordered as O
 from driftline.operators import tensors as T
-from driftline.plans.ordered_queries import tracks
+from driftline.plans.ordered_queries import TRACK_SQL, tracks
 from driftline.plans.registry import query
 from driftline.plans.relational_queries import _NEAR, _points, _polyline
 from driftline.plans.surrogates import sess, sig, table, with_
+from driftline.storage import scratch
 
 
 def fusion_input(spark, d, speed: bool = True):
@@ -144,8 +145,64 @@ def stream_rows(spark, d):
     return imu.unionByName(fix)
 
 
+def _arriving(spark, rows, name: str):
+    """Rows as a stream: files of a folder, in the order in which they are written."""
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
 @query("stm_fused_stream")
 def stm_fused_stream(spark, d):
     from driftline.streaming.fusion import fuse_batch
 
     return fuse_batch(stream_rows(spark, d))
+
+
+@query("stm_live_path")
+def stm_live_path(spark, d):
+    """The live path as a streaming query with state: the rows of stm_fused_stream."""
+    from driftline.streaming.fusion import fuse_stream, run_available
+
+    return run_available(fuse_stream(_arriving(spark, stream_rows(spark, d), "live")), scratch(spark, "fused"))
+
+
+_LATE = "WITH e AS (SELECT user_id, event_type, ts, max(ts) OVER () - INTERVAL 10 MINUTE AS mark FROM events)"
+
+
+@query("stm_stream_rate", _LATE + ", w AS (SELECT event_type, date_trunc('second', ts) AS s, mark, count(*) AS n FROM e GROUP BY ALL) SELECT event_type, CAST(epoch(s) AS BIGINT) AS start, n FROM w WHERE s + INTERVAL 1 SECOND <= mark")
+def stm_stream_rate(spark, d):
+    """Events a second through a watermark: seconds that it has passed are final and come out once."""
+    from driftline.streaming.fusion import rate_counter, run_available
+
+    e = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    out = run_available(rate_counter(_arriving(spark, e, "events"), "ts", "event_type"), scratch(spark, "rate"))
+    return out.select("event_type", F.unix_seconds("start").alias("start"), "n")
+
+
+@query("stm_stream_session", _LATE + ", g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS began, count(*) AS n FROM s GROUP BY user_id, sid, mark HAVING max(ts) + INTERVAL 12 HOUR <= mark")
+def stm_stream_session(spark, d):
+    """Session windows that the watermark has closed."""
+    from driftline.streaming.fusion import run_available, sessions
+
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = run_available(sessions(_arriving(spark, e, "events"), "ts", "user_id"), scratch(spark, "sessions"))
+    return out.select("user_id", F.unix_micros("start").alias("began"), "n")
+
+
+@query("src_online_imu", with_("route") + " SELECT route_id, count(*) AS n, round(sum(gyro_yaw), 6) + 0.0 AS turn FROM route GROUP BY 1")
+def src_online_imu(spark, d):
+    """Inertial samples as they arrive."""
+    from driftline.streaming.fusion import run_available
+
+    got = run_available(_arriving(spark, stream_rows(spark, d), "online").where("kind = 'imu'"), scratch(spark, "imu"))
+    return got.groupBy(F.col("session_id").cast("long").alias("route_id")).agg(F.count("*").alias("n"), S.r6(F.sum("gyro")).alias("turn"))
+
+
+@query("src_online_gnss", TRACK_SQL + " SELECT route_id, count(*) AS n, round(sum(tn), 2) + 0.0 AS north FROM tr WHERE seq % 10 = 0 AND (t < 40 OR t >= 100) GROUP BY 1")
+def src_online_gnss(spark, d):
+    """Fixes as they arrive."""
+    from driftline.streaming.fusion import run_available
+
+    got = run_available(_arriving(spark, stream_rows(spark, d), "online").where("kind = 'gnss'"), scratch(spark, "gnss"))
+    return got.groupBy(F.col("session_id").cast("long").alias("route_id")).agg(F.count("*").alias("n"), S.r6(F.sum("gnss_n"), 2).alias("north"))

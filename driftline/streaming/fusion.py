@@ -103,6 +103,17 @@ def fuse_batch(rows: DataFrame) -> DataFrame:
     return rows.select(*COLUMNS).groupBy("session_id").applyInPandas(run, OUTPUT)
 
 
+def run_available(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a streaming query over what its source has now, exactly once into Parquet files at `path`, and reads those.
+
+    The checkpoint beside them holds offsets, state and the files of each batch, so a query that is run again after a
+    failure goes on where it stopped and adds nothing twice.
+    """
+    done = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def rate_counter(events: DataFrame, ts: str, key: str, late: str = "10 minutes") -> DataFrame:
     """Events a second and key, with a watermark for late ones."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, "1 second"), key).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), "n")

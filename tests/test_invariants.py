@@ -349,3 +349,11 @@ def test_rotated_copies_keep_their_size(spark):
     assert len(a) == len(b) == 50 and np.allclose(np.hypot(a.x, a.y), np.hypot(b.x, b.y))
     turned = np.degrees(np.angle((b.x + 1j * b.y) / (a.x + 1j * a.y)))
     assert (np.abs(turned) <= 30).all() and np.std(turned) > 5
+
+
+def test_live_path_equals_batch(spark, data):
+    rows = lambda df: sorted(map(tuple, df.drop("late").collect()), key=lambda r: (r[0], r[1]))
+    stream, batch = rows(K.stm_live_path(spark, data)), rows(K.stm_fused_stream(spark, data))
+    assert len(stream) == len(batch) > 0
+    for a, b in zip(stream, batch, strict=True):
+        assert a[:3] == b[:3] and a[-1] == b[-1] and all(x == pytest.approx(y, abs=1e-9) for x, y in zip(a[3:-1], b[3:-1], strict=True))
