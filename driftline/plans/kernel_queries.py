@@ -130,6 +130,20 @@ def ml_onnx_network(spark, d):
     return x.select("vec_id", S.r6(F.col("prediction"), 2).alias("prediction"))
 
 
+@query("ml_export_quant")
+def ml_export_quant(spark, d):
+    """The network of ml_onnx_network as the smaller file that its exporter chose, over the same windows."""
+    import numpy as np
+
+    from driftline.operators.onnx_bytes import export
+
+    i, h = np.arange(1, 65)[:, None], np.arange(8)
+    layers = [(np.sin(i * (h + 1.0)), 0.1 * h), (((h - 4) / 4)[:, None], np.array([0.25]))]
+    kind, model = export(layers, np.random.default_rng(0).normal(size=(256, 64)) / 8)
+    x = E.infer(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", model)
+    return x.select("vec_id", F.lit(kind).alias("weights"), S.r6(F.col("prediction"), 4).alias("prediction"))
+
+
 @query("ml_delta_accumulate", with_("sig") + " SELECT event_id, greatest(0.0, round(sum((v - 50) / 100) OVER (PARTITION BY session_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 6)) + 0.0 AS speed FROM sig")
 def ml_delta_accumulate(spark, d):
     """Running sum of predicted speed changes, at least zero."""

@@ -200,6 +200,30 @@ def snk_npy(spark, d):
     return recordings.read_npy(spark, path).agg(F.count("*").alias("n"), F.sum(F.size("window")).alias("total"))
 
 
+@query("src_osm_saved", with_("road") + " SELECT 7 + i // 50 AS way, 'primary' AS highway, i AS u, i + 1 AS v, round(n, 6) + 0.0 AS lat FROM road WHERE i % 50 < 49 AND i < 199")
+def src_osm_saved(spark, d):
+    """Edges of saved answers of a map server, one file for each way of 50 nodes, with where they begin."""
+    path = scratch(spark, "osm")
+    r = road(spark, d).withColumn("way", F.expr("7 + i div 50"))
+    node = F.struct(F.lit("node").alias("type"), F.col("i").alias("id"), F.col("n").alias("lat"), F.col("e").alias("lon"))
+    way = F.struct(F.lit("way").alias("type"), F.col("way").alias("id"), F.array_sort(F.collect_list("i")).alias("nodes"), F.struct(F.lit("primary").alias("highway")).alias("tags"))
+    each = r.groupBy("way").agg(F.collect_list(F.to_json(node)).alias("nodes"), F.to_json(way).alias("line"))
+    text = F.concat(F.lit('{"elements": ['), F.array_join("nodes", ","), F.lit(","), "line", F.lit("]}"))
+    sinks.write_files(each.select(F.concat(F.col("way").cast("string"), F.lit(".json")).alias("name"), text.alias("text")), path)
+    nodes, edges = recordings.read_overpass(spark, path)
+    return edges.join(nodes, edges.u == nodes.id).select("way", "highway", "u", "v", r6(F.col("lat")).alias("lat"))
+
+
+@query("snk_plot", TRACK_SQL + " SELECT route_id, least(count(*), 1000) AS n, true AS whole FROM tr GROUP BY 1")
+def snk_plot(spark, d):
+    """A picture of each drive's track, and how many points its line has."""
+    path = scratch(spark, "plots")
+    sinks.write_svg(tracks(spark, d), "route_id", "seq", "te", "tn", path)
+    svg = spark.read.text(path, wholetext=True).withColumn("name", F.col("_metadata.file_name"))
+    points = F.split(F.regexp_extract("value", 'points="([^"]*)"', 1), " ")
+    return svg.select(F.substring_index("name", ".", 1).cast("long").alias("route_id"), F.size(points).cast("long").alias("n"), F.col("value").endswith("</svg>").alias("whole"))
+
+
 @query("snk_bounded_queue", SIG.replace("WITH", "WITH RECURSIVE", 1) + f", o AS (SELECT *, row_number() OVER ({_P}) AS i FROM sig), q AS (SELECT session_id, i, t + 100000 AS free, true AS ok FROM o WHERE i = 1 UNION ALL SELECT o.session_id, o.i, CASE WHEN greatest(q.free - o.t, 0) < 200000 THEN greatest(q.free, o.t) + 100000 ELSE q.free END, greatest(q.free - o.t, 0) < 200000 FROM q JOIN o ON o.session_id = q.session_id AND o.i = q.i + 1) SELECT session_id, count(*) FILTER (ok) AS written, count(*) FILTER (NOT ok) AS dropped FROM q GROUP BY 1")
 def snk_bounded_queue(spark, d):
     """What a slow writer behind a queue of two keeps and drops."""

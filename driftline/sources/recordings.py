@@ -157,6 +157,20 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def read_overpass(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, lat, lon) and edges (way, highway, u, v) of saved answers of an Overpass server in JSON.
+
+    Fetching is not done here: a job without a network reads what was saved. A way's consecutive nodes are its edges;
+    elements that several answers hold count once.
+    """
+    element = "struct<type: string, id: long, lat: double, lon: double, nodes: array<long>, tags: struct<highway: string>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<elements: array<{element}>>")["elements"]).alias("e")).select("e.*")
+    nodes = rows.where("type = 'node'").select("id", "lat", "lon").dropDuplicates(["id"])
+    ways = rows.where("type = 'way' AND size(nodes) > 1").dropDuplicates(["id"])
+    steps = F.expr("transform(sequence(0, size(nodes) - 2), i -> struct(nodes[i] AS u, nodes[i + 1] AS v))")
+    return nodes, ways.select(F.col("id").alias("way"), F.col("tags.highway").alias("highway"), F.explode(steps).alias("s")).select("way", "highway", "s.u", "s.v")
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """part, i, window (array of float) and label of windows-*.npy and labels-*.npy in a folder, which must pair up.
 

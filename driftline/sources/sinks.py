@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.ordered import scan
@@ -136,6 +136,24 @@ def write_files(rows: DataFrame, path: str, name: str = "name", text: str = "tex
     rows.select(name, text).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+def write_svg(points: DataFrame, by: str, order: str, x: str, y: str, path: str, most: int = 1000) -> None:
+    """An SVG file for each series with its points as a polyline, fitted to a square.
+
+    A series with more than `most` points is drawn with as many means of equal runs of points, so a file stays small.
+    """
+    w = Window.partitionBy(by)
+    n = F.count(F.lit(1)).over(w)
+    at = F.row_number().over(w.orderBy(order)) - 1
+    runs = points.withColumn("__run", F.floor(at * F.least(n, F.lit(most)) / n)).groupBy(by, "__run").agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
+    span = F.greatest(F.max("x").over(w) - F.min("x").over(w), F.max("y").over(w) - F.min("y").over(w), F.lit(1e-9))
+    place = lambda c: F.round((F.col(c) - F.min(c).over(w)) / span * 1000, 1)
+    placed = runs.select(by, "__run", F.concat_ws(",", place("x").cast("string"), (1000 - place("y")).cast("string")).alias("p"))
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__run", "p"))), lambda r: r["p"]), " ")
+    head = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="-10 -10 1020 1020"><polyline fill="none" stroke="black" points="'
+    files = placed.groupBy(by).agg(F.concat(F.lit(head), line, F.lit('"/></svg>')).alias("text"))
+    write_files(files.select(F.concat(F.col(by).cast("string"), F.lit(".svg")).alias("name"), "text"), path)
+
+
 def append_regression(result: DataFrame, path: str, commit: str, route: str | None = None) -> None:
     """Appends result rows with a time, commit and route (given, or a column) to a CSV folder; every part has the header."""
     own = F.lit(route) if route is not None else F.col("route")

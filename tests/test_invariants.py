@@ -357,3 +357,22 @@ def test_live_path_equals_batch(spark, data):
     assert len(stream) == len(batch) > 0
     for a, b in zip(stream, batch, strict=True):
         assert a[:3] == b[:3] and a[-1] == b[-1] and all(x == pytest.approx(y, abs=1e-9) for x, y in zip(a[3:-1], b[3:-1], strict=True))
+
+
+def test_exported_networks(spark, data):
+    """The int8 file is smaller and near the float one; weights that int8 can't hold fall back to half, or to float."""
+    from driftline.operators.onnx_bytes import dense_network, export
+
+    rnd = np.random.default_rng(1)
+    layers = [(rnd.normal(size=(64, 32)), rnd.normal(size=32)), (rnd.normal(size=(32, 2)), rnd.normal(size=2))]
+    kind, small = export(layers, rnd.normal(size=(100, 64)))
+    assert kind == "int8" and len(small) < 0.5 * len(dense_network(layers))
+    spiky = [(np.where(rnd.random((64, 32)) < 0.01, 1e4, rnd.normal(size=(64, 32))) * np.array([1.0] * 63 + [0.0])[:, None], np.zeros(32)), (np.ones((32, 1)), np.zeros(1))]
+    spiky[0][0][0, 0] = 6e4
+    sample = rnd.normal(size=(100, 64))
+    sample[:, (np.abs(spiky[0][0]) > 100).any(axis=1)] = 0
+    assert export(spiky, sample)[0] == "half"
+    spiky[0][0][0, 0] = 1e6
+    assert export(spiky, sample)[0] == "float"
+    a, b = (x.toPandas().set_index("vec_id").prediction for x in (K.ml_onnx_network(spark, data), K.ml_export_quant(spark, data)))
+    assert (a - b).abs().mean() < 0.05 * a.std() and (K.ml_export_quant(spark, data).first().weights) == "int8"
