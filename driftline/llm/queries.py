@@ -216,4 +216,15 @@ hit AS (
 ), l AS (SELECT page_id, count(*) AS n, string_agg(list_name, ',' ORDER BY list_name) AS lists FROM hit GROUP BY page_id)
 SELECT c.page_id, coalesce(l.n, 0) > 0 AS blocked, coalesce(l.n, 0) AS n_lists, coalesce(l.lists, '') AS lists FROM c LEFT JOIN l USING (page_id)"""
 
-SQL: dict[str, str] = {"op6_chat_format": _op6_sql(), "op7_decontaminate": _OP7_SQL, "op8_url_filters": _OP8_SQL}
+_OP10_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT::DOUBLE for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and([coalesce(isfinite(x), false) for x in embedding]), true)
+), s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_dot_product(q.v, c.v), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY rank <= 20"""
+
+SQL: dict[str, str] = {"op6_chat_format": _op6_sql(), "op7_decontaminate": _OP7_SQL, "op8_url_filters": _OP8_SQL, "op10_topk_segments": _OP10_SQL}
