@@ -155,19 +155,20 @@ def src_json_manifest(spark, d):
     return recordings.read_manifest(spark, path).select("session_id", "driver_code", "split", "synced")
 
 
-@query("snk_parquet", SIG + " SELECT CASE WHEN k % 10 = 0 THEN 'gnss' ELSE 'imu' END AS stream, count(*) AS n, round(sum(v), 4) + 0.0 AS total FROM sig WHERE session_id = 3 GROUP BY 1")
+@query("snk_parquet", SIG + " SELECT CASE WHEN k % 10 = 0 THEN 'gnss' ELSE 'imu' END AS stream, count(*) AS n, round(sum(v), 4) + 0.0 AS total FROM sig WHERE event_id // 2000 = 0 GROUP BY 1")
 def snk_parquet(spark, d):
-    """Streams as Parquet by session; a reader of one session opens its folders alone."""
+    """Streams of drives as Parquet by session; a reader of one session opens its folders alone."""
     path = scratch(spark, "streams")
-    sinks.write_streams(_lines(spark, d).select("session_id", F.col("kind").alias("stream"), "t", "speed"), path)
-    return spark.read.parquet(path).where("session_id = 3").groupBy("stream").agg(F.count("*").alias("n"), r6(F.sum("speed"), 4).alias("total"))
+    drive = F.expr("event_id div 2000").alias("session_id")
+    sinks.write_streams(_lines(spark, d).select(drive, F.col("kind").alias("stream"), "t", "speed"), path)
+    return spark.read.parquet(path).where("session_id = 0").groupBy("stream").agg(F.count("*").alias("n"), r6(F.sum("speed"), 4).alias("total"))
 
 
-@query("snk_csv", SIG + " SELECT session_id, count(*) AS n, count(*) FILTER (k % 10 = 0) AS fixes, round(sum(v), 3) + 0.0 AS total FROM sig GROUP BY 1")
+@query("snk_csv", SIG + " SELECT session_id, count(*) AS n, count(*) FILTER (k % 10 = 0) AS fixes, round(sum(v), 3) + 0.0 AS total FROM (SELECT event_id // 2000 AS session_id, k, v FROM sig) GROUP BY 1")
 def snk_csv(spark, d):
-    """Session CSV of both streams, read back."""
+    """Session CSV of both streams of each drive, read back."""
     path = scratch(spark, "csv")
-    x = _lines(spark, d)
+    x = _lines(spark, d).withColumn("session_id", F.expr("event_id div 2000"))
     sinks.write_session_csv(x.where("kind = 'imu'").select("session_id", "t", F.col("speed").alias("ax")), x.where("kind = 'gnss'").select("session_id", "t", "speed"), path)
     back = spark.read.option("header", True).csv(path)
     value = F.coalesce(F.col("ax").cast("double"), F.col("speed").cast("double"))

@@ -45,8 +45,8 @@ def write_session_csv(imu: DataFrame, gnss: DataFrame, path: str) -> None:
 
 
 def write_streams(df: DataFrame, path: str) -> None:
-    """Parquet by session and stream, so that readers prune to what they name."""
-    df.write.mode("overwrite").partitionBy("session_id", "stream").parquet(path)
+    """Parquet by session and stream, so that readers prune to what they name; one file a folder, however many tasks."""
+    df.repartition("session_id", "stream").write.mode("overwrite").partitionBy("session_id", "stream").parquet(path)
 
 
 def write_tensors(windows: DataFrame, path: str) -> None:
