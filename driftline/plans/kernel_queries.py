@@ -154,8 +154,8 @@ def ml_delta_accumulate(spark, d):
 def stream_rows(spark, d):
     """Samples at 10 Hz and fixes at 1 Hz of the drives, as rows of the live path."""
     t = tracks(spark, d)
-    imu = t.select(F.col("route_id").cast("string").alias("session_id"), F.lit("imu").alias("kind"), "t", F.col("gyro_yaw").alias("gyro"), (F.col("t") < 2).alias("quiet"), F.lit(None).cast("double").alias("gnss_n"), F.lit(None).cast("double").alias("gnss_e"), F.lit(None).cast("double").alias("speed"))
-    fix = t.where("seq % 10 = 0 AND (t < 40 OR t >= 100)").select(F.col("route_id").cast("string").alias("session_id"), F.lit("gnss").alias("kind"), "t", F.lit(None).cast("double").alias("gyro"), F.lit(False).alias("quiet"), F.col("tn").alias("gnss_n"), F.col("te").alias("gnss_e"), "speed")
+    imu = t.select(F.col("route_id").cast("string").alias("session_id"), F.lit("imu").alias("kind"), "t", F.col("gyro_yaw").alias("gyro"), (F.col("t") < 2).alias("quiet"), F.lit(None).cast("double").alias("gnss_n"), F.lit(None).cast("double").alias("gnss_e"), F.lit(None).cast("double").alias("speed"), F.lit(None).cast("double").alias("course"))
+    fix = t.where("seq % 10 = 0 AND (t < 40 OR t >= 100)").select(F.col("route_id").cast("string").alias("session_id"), F.lit("gnss").alias("kind"), "t", F.lit(None).cast("double").alias("gyro"), F.lit(False).alias("quiet"), F.col("tn").alias("gnss_n"), F.col("te").alias("gnss_e"), "speed", F.col("true_psi").alias("course"))
     return imu.unionByName(fix)
 
 

@@ -19,8 +19,13 @@ from pyspark.sql import functions as F
 from driftline.operators.estimators import FusionFilter, FusionSettings
 
 OUTPUT = "session_id string, t double, phase string, pn double, pe double, vn double, ve double, psi double, late long, failed boolean"
-COLUMNS = ["session_id", "kind", "t", "gyro", "quiet", "gnss_n", "gnss_e", "speed"]
+COLUMNS = ["session_id", "kind", "t", "gyro", "quiet", "gnss_n", "gnss_e", "speed", "course"]
 MAX_STEP = 0.2
+#: A fix's course says something from this speed on, in m/s.
+COURSE_FROM = 1.5
+#: Between fixes a second apart the filter counts as without them, so the noise of those that come back starts lower than
+#: in replays, where fixes come with every sample.
+LIVE = FusionSettings(ramp_start=5.0)
 LEVEL_S = 1.0
 
 
@@ -33,7 +38,7 @@ class Session:
         self.fix = s.get("fix")
         self.filter = None
         if s.get("x"):
-            self.filter = FusionFilter(np.array(s["x"]), FusionSettings(), np.array(s["p"]).reshape(7, 7), s["outage"], s["since"])
+            self.filter = FusionFilter(np.array(s["x"]), LIVE, np.array(s["p"]).reshape(7, 7), s["outage"], s["since"])
 
     def dump(self) -> str:
         s = {k: getattr(self, k) for k in ("phase", "last", "quiet_from", "late", "failed", "fix")}
@@ -41,10 +46,18 @@ class Session:
             s |= {"x": self.filter.x.tolist(), "p": self.filter.p.ravel().tolist(), "outage": self.filter.outage, "since": self.filter.since}
         return json.dumps(s)
 
+    def _measured(self) -> tuple[tuple | None, tuple | None, float | None]:
+        """Position, velocity and course of the staged fix; a course counts from COURSE_FROM on."""
+        if not self.fix:
+            return None, None, None
+        n, e, speed, course = self.fix
+        vel = (speed * float(np.cos(course)), speed * float(np.sin(course))) if speed is not None and course is not None else None
+        return (n, e), vel, course if vel and speed >= COURSE_FROM else None
+
     def row(self, r) -> tuple | None:
         """Takes a row; an IMU row gives an output row."""
         if r.kind == "gnss":
-            self.fix = [r.gnss_n, r.gnss_e, None if r.speed != r.speed else r.speed]
+            self.fix = [None if x != x else float(x) for x in (np.nan if x is None else x for x in (r.gnss_n, r.gnss_e, r.speed, r.course))]
             return None
         if self.failed:
             return None
@@ -59,12 +72,14 @@ class Session:
                 if self.quiet_from is not None and r.t - self.quiet_from >= LEVEL_S:
                     self.phase = "WAITING_FOR_GNSS"
             if self.phase == "WAITING_FOR_GNSS" and self.fix:
-                x = np.zeros(7)
-                x[:2] = self.fix[:2]
-                self.filter, self.phase, self.fix = FusionFilter(x), "RUNNING", None
+                x, (pos, vel, course) = np.zeros(7), self._measured()
+                x[:2], x[2:4], x[4] = pos, vel or (0.0, 0.0), course or 0.0
+                self.filter, self.phase, self.fix = FusionFilter(x, LIVE), "RUNNING", None
             elif self.phase == "RUNNING":
-                fix, self.fix = self.fix, None
-                self.filter.step(dt, r.gyro, tuple(fix[:2]) if fix else None, a=fix[2] if fix else None)
+                pos, vel, course = self._measured()
+                speed = self.fix[2] if self.fix and vel is None else None
+                self.fix = None
+                self.filter.step(dt, r.gyro, pos, vel, course, a=speed)
         except (np.linalg.LinAlgError, ValueError):
             self.failed = True
         x = self.filter.x if self.filter is not None else [None] * 5
