@@ -49,6 +49,13 @@ def wrap_pi(c: Column) -> Column:
     return F.pmod(c + F.lit(math.pi), F.lit(2 * math.pi)) - F.lit(math.pi)
 
 
+def floored_mod(c: Column, m: float) -> Column:
+    """c - m * floor(c / m) as SQL rounds it; pmod is exact instead, which tells apart what is half a turn but for rounding."""
+    q = c / F.lit(float(m))
+    # floor gives a long; beyond 2^53 every double is whole.
+    return c - F.lit(float(m)) * F.when(F.abs(q) < F.lit(float(1 << 53)), F.floor(q).cast("double")).otherwise(q)
+
+
 def angle_diff(a: Column, b: Column) -> Column:
     return F.abs(wrap_pi(a - b))
 

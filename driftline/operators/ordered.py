@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from driftline.functions.scalar import wrap_pi
+from driftline.functions.scalar import floored_mod
 
 Names = str | list[str]
 
@@ -50,9 +51,12 @@ def gradient_over(x: Column, t: Column, w: WindowSpec) -> Column:
 
 
 def unwrap(df: DataFrame, col: str, by: Names, order: Names, out: str = "unwrapped") -> DataFrame:
-    """Angles without jumps: the first one plus the running sum of wrapped differences."""
+    """Angles without jumps: the first one plus the running sum of wrapped differences.
+
+    Differences of half a turn are near either end of [-pi, pi), so the modulus rounds as a floor in SQL does.
+    """
     w = over(by, order)
-    step = F.coalesce(wrap_pi(diff(F.col(col), w)), F.lit(0.0))
+    step = F.coalesce(floored_mod(diff(F.col(col), w) + F.lit(math.pi), 2 * math.pi) - F.lit(math.pi), F.lit(0.0))
     return df.withColumn("__step", step).withColumn(out, F.first(col).over(running(by, order)) + F.sum("__step").over(running(by, order))).drop("__step")
 
 

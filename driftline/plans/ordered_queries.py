@@ -56,7 +56,7 @@ def win_ffill(spark, d):
 
 @query("win_unwrap", SIG + f", a AS (SELECT *, radians(v * 2 - 360 * floor(v * 2 / 360) - 180) AS ang FROM sig), s AS (SELECT *, coalesce({_wrap_sql(f'ang - lag(ang) OVER ({_P})')}, 0) AS st FROM a) SELECT event_id, round(first_value(ang) OVER ({_P}) + sum(st) OVER ({_P} ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS u FROM s")
 def win_unwrap(spark, d):
-    s = sig(spark, d).withColumn("ang", F.radians(S.wrap_deg(F.col("v") * 2 - 180)))
+    s = sig(spark, d).withColumn("ang", F.radians(S.floored_mod(F.col("v") * 2, 360) - 180))
     return O.unwrap(s, "ang", BY, ORD, "u").select("event_id", r6(F.col("u"), 4).alias("u"))
 
 

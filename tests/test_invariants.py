@@ -385,3 +385,24 @@ def test_live_path_stays_with_the_truth(spark, data):
     e = np.hypot(m.pn - m.tn, m.pe - m.te)
     path = np.hypot(np.diff(truth.sort_values("t").tn), np.diff(truth.sort_values("t").te)).sum()
     assert len(m) == len(p) > 900 and e[(m.t > 5) & (m.t < 40)].mean() < 5 and e[m.t < 100].max() < 0.15 * path
+
+
+def _matches_sql(spark, tmp_path, name, rows):
+    """A query of events (session, v, k), in this order, is the same as its SQL."""
+    import duckdb
+    from conftest import same
+
+    from driftline.queries import QUERIES, SQL
+
+    events = [(i, s, float(v), f'{{"k": {k}}}') for i, (s, v, k) in enumerate(rows)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, value double, props string")
+    df.selectExpr("event_id", "timestamp'2024-01-01' + event_id * interval 1 second AS ts", "user_id", "'view' AS event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    same(QUERIES[name](spark, str(tmp_path)), con, SQL[name])
+
+
+def test_unwrap_of_half_turns(spark, tmp_path):
+    """Whether half a turn rounds to one side or the other moves all that follows by a turn."""
+    rows = [(s, v, 0) for s in range(2000) for v in (s * 0.09, s * 0.09 + 90, s * 0.09, s * 0.05)]
+    _matches_sql(spark, tmp_path, "win_unwrap", [(s, round(v, 2), k) for s, v, k in rows])
