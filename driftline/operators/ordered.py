@@ -69,11 +69,26 @@ def stationary(x: Column, by: Names, order: Names, size: int = 10, limit: float
     return var, (var < limit) & (F.count(F.lit(1)).over(Window.partitionBy(*_list(by))) >= size)
 
 
+def var_pop_in_order(x: Column, w: WindowSpec) -> Column:
+    """Population variance over a short frame by Welford's updates, rounded as DuckDB's var_pop; null values don't count.
+
+    Spark's own rounds otherwise, which tells where a variance equals a limit.
+    """
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(s: Column, v: Column) -> Column:
+        n, d = s["n"] + 1, v - s["mean"]
+        mean = s["mean"] + d / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (v - mean) * d).alias("m2"))
+
+    return F.aggregate(F.collect_list(x.cast("double")).over(w), zero, add, lambda s: s["m2"] / F.nullif(s["n"], F.lit(0.0)))
+
+
 def zupt(accel: Column, gyro: Column, by: Names, order: Names, n: int = 20, accel_var: float = 0.02, gyro_var: float = 1e-3, gyro_mean: float = 0.05) -> Column:
     """Zero-velocity flag: low population variances and a low mean turn rate over the last n rows; false until n."""
     w = over(by, order).rowsBetween(-(n - 1), 0)
     full = F.count(F.lit(1)).over(w) == n
-    return full & (F.var_pop(accel).over(w) < accel_var) & (F.var_pop(gyro).over(w) < gyro_var) & (F.abs(F.avg(gyro).over(w)) < gyro_mean)
+    return full & (var_pop_in_order(accel, w) < accel_var) & (var_pop_in_order(gyro, w) < gyro_var) & (F.abs(F.avg(gyro).over(w)) < gyro_mean)
 
 
 def trailing_mean(x: Column, by: Names, order: Names, n: int) -> Column:

@@ -406,3 +406,16 @@ def test_unwrap_of_half_turns(spark, tmp_path):
     """Whether half a turn rounds to one side or the other moves all that follows by a turn."""
     rows = [(s, v, 0) for s in range(2000) for v in (s * 0.09, s * 0.09 + 90, s * 0.09, s * 0.05)]
     _matches_sql(spark, tmp_path, "win_unwrap", [(s, round(v, 2), k) for s, v, k in rows])
+
+
+def test_zupt_of_variances_at_the_limit(spark, tmp_path):
+    """The variance of each window of k / 1000 is exactly 0.001; which side it rounds to is the SQL's."""
+    windows = ["89 53 28 43 14 0 97 52", "9 91 46 83 35 14 10 8", "52 21 5 1 67 93 75 58", "87 62 9 13 2 5 12 66", "15 56 2 74 86 31 1 7", "70 48 67 3 87 73 18 2", "11 6 35 90 91 48 62 17", "5 9 11 57 61 36 98 71"]
+    _matches_sql(spark, tmp_path, "win_zupt_trailing", [(s, 1.0, k) for s, w in enumerate(windows) for k in w.split()])
+    assert [np.var([int(k) for k in w.split()]) for w in windows] == [1000.0] * 8
+
+
+def test_variance_in_order_without_nulls(spark):
+    df = spark.createDataFrame([(0, None), (1, 3.0), (2, None), (3, 7.0), (4, 5.0)], "i int, x double")
+    got = df.select("i", O.var_pop_in_order(F.col("x"), O.over([], "i").rowsBetween(-2, 0)).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [None, 0.0, 0.0, 4.0, 1.0]
