@@ -798,3 +798,52 @@ def test_pipeline_links_near_copies(spark, empty, odd, monkeypatch):
     assert pipeline.near_duplicates(spark, empty, "").count() == 0
     ids = [r.doc_id for r in pipeline.near_duplicates(spark, odd, "").collect()]
     assert sorted(ids, key=str) == sorted([1, 2, 4, 5, 7, None], key=str)
+
+
+def test_near_copies_meet_at_covering_anchors(spark):
+    """A node is sent to the homes of all values within one bit of its own, so whoever differs in a bit of a block meets there."""
+    from driftline.llm import near_copies as N
+    from driftline.llm.simhash_anchor import homes
+
+    value = np.arange(1 << 15, dtype=np.uint32)
+    sent = N._ANCHORS[value]
+    assert (sent[:, 0] == homes(value)).all() and (homes(sent.astype(np.uint32)) == sent).all() and (np.diff(np.sort(sent, axis=1)) > 0).all()
+    for bit in range(15):
+        assert (sent == homes(value ^ np.uint32(1 << bit))[:, None]).any(axis=1).all()
+    rnd = np.random.default_rng(1)
+    for more in range(N.LONGER + 1):
+        bits = 15 + more
+        fp = rnd.integers(0, 1 << 63, (40, N.PRINTS))
+        other = rnd.integers(0, 1 << 63, (40, N.PRINTS))
+        block = rnd.integers(0, N.BLOCKS[more], 40)
+        at, low = block // (64 // bits), block % (64 // bits) * bits
+        for i in range(40):  # equal in one block but for one bit of the code's
+            mask = ((1 << bits) - 1) << int(low[i])
+            v = int(other[i, at[i]]) & ~mask | int(fp[i, at[i]]) & mask ^ (1 << int(low[i] + rnd.integers(15)))
+            other[i, at[i]] = v - (1 << 64) if v >> 63 else v
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([fp, other]))], "node long, fp array<long>")
+        dealt = N._dealt(rows, more).toPandas()
+        assert len(dealt) == 80 * N.BLOCKS[more] * N.SENT
+        sent = {n: set(g.key) for n, g in dealt.groupby("node")}
+        home = {n: set(g.key) for n, g in dealt[dealt.home].groupby("node")}
+        assert all(home[i] & sent[40 + i] and sent[i] & home[40 + i] for i in range(40))
+    assert N.longer(0) == N.longer(1_000_000) == 0 < N.longer(10_000_000) < N.longer(10**12) == N.LONGER
+
+
+def test_near_pairs_by_definition():
+    """Groups small and large, with at most DENSE near pairs a member, list each near pair of which one is at home once."""
+    from driftline.llm import near_copies as N
+
+    rnd = np.random.default_rng(2)
+    size = [1, 5, 32, 33, 700]
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    a, b = (rnd.integers(0, 1 << 63, cuts[-1]) for _ in range(2))
+    for s, e in zip(cuts[1:-1], cuts[2:], strict=True):
+        a[s + 1 : e : 2], b[s + 1 : e : 2] = a[s : e - 1 : 2], b[s : e - 1 : 2] ^ 7
+    home = rnd.random(len(a)) < 0.5
+    x, y, bits, dense = N.near_pairs(cuts, np.arange(len(a)), a, b, home)
+    apart = lambda i, j: int(np.bitwise_count(a[i] ^ a[j])) + int(np.bitwise_count(b[i] ^ b[j]))
+    want = {(i, j) for s, e in zip(cuts[:-1], cuts[1:], strict=True) for i in range(s, e) for j in range(i + 1, e) if (home[i] or home[j]) and apart(i, j) <= N.NEAR}
+    got = [(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(want) > 200 and len(got) == len(want) and set(got) == want and not len(dense)
+    assert all(apart(i, j) == n for i, j, n in zip(x, y, bits, strict=True))
