@@ -847,3 +847,38 @@ def test_near_pairs_by_definition():
     got = [(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)]
     assert len(want) > 200 and len(got) == len(want) and set(got) == want and not len(dense)
     assert all(apart(i, j) == n for i, j, n in zip(x, y, bits, strict=True))
+
+
+def test_dense_anchors_send_on_near_nodes_alone(spark):
+    """What meets again from anchors with too many pairs grows with a group of copies, not with who else was sent there."""
+    from driftline.llm import near_copies as N
+
+    def rows_of(plan, name):
+        """Output rows of a plan's joins."""
+        kind = plan.nodeName()
+        own = plan.metrics().apply("numOutputRows").value() if name in kind else 0
+        if kind.startswith("AdaptiveSparkPlan"):
+            return rows_of(plan.executedPlan(), name)
+        if kind.endswith("QueryStage"):
+            return rows_of(plan.plan(), name)
+        below = plan.children()
+        return own + sum(rows_of(below.apply(i), name) for i in range(below.size()))
+
+    rnd = np.random.default_rng(3)
+    group = rnd.integers(-(1 << 63), (1 << 63) - 1, (1, N.PRINTS)) ^ np.packbits(rnd.random((60, N.PRINTS * 64)) < 0.05, axis=1).view(np.int64)
+    others = rnd.integers(-(1 << 63), (1 << 63) - 1, (6000, N.PRINTS))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([group, others]))]
+    distinct = spark.createDataFrame(rows, "node long, fp array<long>").localCheckpoint()
+    pairs = N.candidates(distinct)
+    found = [(r.a, r.b) for r in pairs.collect() if r.a < 60]
+    root = list(range(60))
+    for a, b in sorted(found, key=max):  # links reach the whole group
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    assert set(root) == {0}
+    assert 0 < rows_of(pairs._jdf.queryExecution().executedPlan(), "Join") <= 24 * 60  # 24 anchors have too many pairs, 1518 rows are sent there
+    a, b = (rnd.integers(0, 1 << 63, 300) for _ in range(2))
+    a[1:100:2], b[1:100:2] = a[:99:2] ^ 5, b[:99:2]
+    apart = np.bitwise_count(a[:, None] ^ a) + np.bitwise_count(b[:, None] ^ b)
+    np.fill_diagonal(apart, 128)
+    assert (N.near_any(a, b) == (apart <= N.NEAR).any(axis=1)).all() and N.near_any(a, b).sum() == 100
